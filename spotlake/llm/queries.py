@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, secret_scan
+from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, pivot_index, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op10_chat_format": chat_format.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op7_pivot_index": pivot_index.SQL, "op10_chat_format": chat_format.SQL}
