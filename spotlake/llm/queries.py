@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, pivot_index, secret_scan
+from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, minhash, pivot_index, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
 
