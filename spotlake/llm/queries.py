@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, minhash, pivot_index, secret_scan
+from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, language_model, minhash, pivot_index, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), tokenizer_path())
 
