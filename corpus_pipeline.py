@@ -1,25 +1,53 @@
-"""From raw documents to token ids in five stages."""
+"""From raw documents to token ids in five stages, each of which works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotlake.llm import exact_dedup
+from spotlake.llm import byte_bpe, exact_dedup, language_id, minhash, mixing
 from spotlake.llm.common import stored
+from spotlake.llm.queries import tokenizer_path
+
+#: Documents whose language is less sure than this go; those without a letter have score 0.
+LEAST_SCORE = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no language that the model is sure of, go."""
+    return language_id.keep_sure(docs, LEAST_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays."""
+    """Of each text the document with the largest id stays."""
     return exact_dedup.keep_one(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return minhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; they are written in an order that follows the weights of the sources."""
+    return mixing.in_mixed_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return byte_bpe.round_trips(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language), ("exact_dedup", drop_exact_copies), ("minhash", drop_near_copies), ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
 
 #: Learned models and byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, applied to the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))

@@ -185,3 +185,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score of every row: learned from the rows that are not held out, applied to all."""
     found = predict(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_sure(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of docs (with doc_id, text, lang) whose predicted language has a score of at least `least`; their own columns."""
+    bounded_batches(docs.sparkSession)
+    model = learn(docs)
+    predictor = _predictor(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = next(predictor(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(text_at)], names=["doc_id", "text"])])))
+            yield batch.filter(pa.array((found.column(2).to_numpy() >= least) & (np.array(found.column(1).to_pylist(), dtype=object) != UNDETERMINED)))
+
+    text_at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
