@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, language_model, minhash, mixing, pivot_index, secret_scan
+from spotlake.llm import byte_bpe, chat_format, exact_dedup, language_id, language_model, minhash, mixing, pivot_index, secret_scan, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.in_training_order(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
 
