@@ -1,0 +1,97 @@
+"""Pixel form: rows (keys ..., y, x, v). Absent pixels are 0. These are plain algebra that the optimizer sees through."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spotlake.operators.geometry import disk, ring
+
+GAUSS = {(dy, dx): a * b / 256 for dy, a in zip(range(-2, 3), (1, 4, 6, 4, 1)) for dx, b in zip(range(-2, 3), (1, 4, 6, 4, 1))}
+SCHARR_X = {(dy, dx): float(a * b) for dy, a in zip((-1, 0, 1), (3, 10, 3)) for dx, b in ((-1, -1), (1, 1))}
+SCHARR_Y = {(dx, dy): w for (dy, dx), w in SCHARR_X.items()}
+
+
+def correlate(px: DataFrame, weights: dict[tuple[int, int], float], keys: Sequence[str], height: int, width: int) -> DataFrame:
+    """out[y, x] = sum of weight[dy, dx] * v[y + dy, x + dx], 0 beyond the borders. Each pixel hands on its shares, combined before the shuffle."""
+    shares = F.explode(F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(w).alias("w")) for (dy, dx), w in weights.items()]))
+    moved = px.select(*keys, "y", "x", "v", shares.alias("s")).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), (F.col("v") * F.col("s.w")).alias("v"))
+    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)
+    return moved.filter(inside).groupBy(*keys, "y", "x").agg(F.sum("v").alias("v"))
+
+
+def gradient(px: DataFrame, keys: Sequence[str], height: int, width: int) -> DataFrame:
+    """keys, y, x, gy, gx by Scharr weights, in one pass."""
+    both = {o: (SCHARR_Y.get(o, 0.0), SCHARR_X.get(o, 0.0)) for o in {*SCHARR_X, *SCHARR_Y}}
+    shares = F.explode(F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(a).alias("a"), F.lit(b).alias("b")) for (dy, dx), (a, b) in sorted(both.items())]))
+    moved = px.select(*keys, (F.col("y")).alias("y0"), F.col("x").alias("x0"), "v", shares.alias("s")).select(
+        *keys, (F.col("y0") + F.col("s.dy")).alias("y"), (F.col("x0") + F.col("s.dx")).alias("x"), (F.col("v") * F.col("s.a")).alias("a"), (F.col("v") * F.col("s.b")).alias("b")
+    )
+    inside = (F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)
+    return moved.filter(inside).groupBy(*keys, "y", "x").agg(F.sum("a").alias("gy"), F.sum("b").alias("gx"))
+
+
+def edge_thresholds(grad: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
+    """keys, low, high: exact quantiles, interpolated, of the gradient's length."""
+    size = F.sqrt(F.col("gy") ** 2 + F.col("gx") ** 2)
+    return grad.groupBy(*keys).agg(F.percentile(size, F.lit(low)).alias("low"), F.percentile(size, F.lit(high)).alias("high"))
+
+
+def edge_grid(edges: DataFrame, keys: Sequence[str], cell: int) -> DataFrame:
+    """keys, cy, cx, n: how many edge pixels each cell of the grid has."""
+    return edges.groupBy(*keys, F.floor(F.col("y") / cell).cast("int").alias("cy"), F.floor(F.col("x") / cell).cast("int").alias("cx")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def keep_circles(circles: DataFrame, low: float, high: float, height: int, width: int) -> DataFrame:
+    """Circles (y, x, r) of a radius in low..high before rounding (half to even), at least partly in the image."""
+    sized = circles.filter((F.col("r") >= low) & (F.col("r") <= high))
+    whole = sized.select(*[c for c in circles.columns if c not in ("y", "x", "r")], *[F.rint(c).cast("int").alias(c) for c in ("y", "x", "r")])
+    return whole.filter((F.col("y") + F.col("r") >= 0) & (F.col("y") - F.col("r") < height) & (F.col("x") + F.col("r") >= 0) & (F.col("x") - F.col("r") < width))
+
+
+def score_circles(circles: DataFrame, edges: DataFrame, radii: Sequence[int]) -> DataFrame:
+    """id, score of circles (id, y, x, r); edges: y, x, angle of the gradient. radii: those that occur (a parameter's range)."""
+    rows = [(r, int(dy), int(dx), len(ring(r))) for r in radii for dy, dx in ring(r)]
+    offsets = circles.sparkSession.createDataFrame(rows, "r int, dy int, dx int, n int")
+    around = circles.join(F.broadcast(offsets), "r").select("id", "n", "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    off = F.abs(F.col("angle") - F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")))
+    off = F.when(off > F.pi(), off - F.pi()).otherwise(off)
+    met = around.join(edges, ["y", "x"], "left").select("id", "n", F.coalesce(4 * F.abs(off - F.pi() / 2) / F.pi() - 1, F.lit(0.0)).alias("part"))
+    return met.groupBy("id").agg((F.sum("part") / F.first("n")).alias("score"))
+
+
+def conflicts(circles: DataFrame, min_dist: int) -> DataFrame:
+    """a, b: circles (id, y, x; best first by id) of which the rings of radius min_dist touch, through a table of touching offsets and cells."""
+    own = {tuple(p) for p in ring(min_dist, True)}
+    touching = sorted({(a[0] - b[0], a[1] - b[1]) for a in own for b in own})
+    offsets = circles.sparkSession.createDataFrame([(int(dy), int(dx)) for dy, dx in touching], "dy int, dx int")
+    moved = circles.select(F.col("id").alias("a"), "y", "x").join(F.broadcast(offsets), F.lit(True)).select("a", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    return moved.join(circles.select(F.col("id").alias("b"), "y", "x"), ["y", "x"]).filter("a < b").select("a", "b")
+
+
+def flatfield(px: DataFrame, dark: float, keys: Sequence[str], whole: bool = True) -> DataFrame:
+    """px with a column `flat` (null: no field there, 0 comes out): dark taken off, divided, scaled back to the old maximum of the keys, cut."""
+    clipped = px.withColumn("t", F.greatest(F.col("v") - F.lit(dark), F.lit(0.0))).withColumn("q", F.coalesce(F.try_divide("t", "flat"), F.lit(0.0)))
+    tops = clipped.groupBy(*keys).agg(F.max("t").alias("m"), F.max("q").alias("n"))
+    out = F.coalesce(F.try_divide(F.col("q") * F.col("m"), F.col("n")), F.lit(0.0))
+    joined = clipped.join(F.broadcast(tops), list(keys)) if keys else clipped.join(F.broadcast(tops), F.lit(True))
+    return joined.withColumn("v", F.floor(out + F.lit(1e-9)).cast("double") if whole else out).drop("t", "q", "m", "n", "flat")
+
+
+def mirrored(c: str, size: int) -> Column:
+    return F.lit(size - 1) - F.col(c)
+
+
+def in_disk(y: Column, x: Column, centre: tuple[int, int], radius: int) -> Column:
+    """Whether a pixel lies on the filled disk, as one span per row."""
+    spans = {}
+    for dy, dx in disk(radius):
+        low, high = spans.get(int(dy), (0, 0))
+        spans[int(dy)] = (min(low, int(dx)), max(high, int(dx)))
+    tests = [(y == centre[0] + dy) & x.between(centre[1] + a, centre[1] + b) for dy, (a, b) in spans.items()]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
