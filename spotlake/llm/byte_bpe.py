@@ -160,9 +160,9 @@ class ByteBpe:
 
     def learn(self, words: set[str], decoding: bool) -> None:
         """Make the entries of words that are not known yet."""
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) + len(self.said) > REMEMBERED:
             self.ids, self.said, self.back = {}, {}, {}
-        new = sorted(words.difference(self.ids))
+        new = sorted(words.difference(self.said if decoding else self.ids))
         for token in [w for w in new if w in self.special]:
             self._note(token, np.array([self.special[token]], dtype=np.int64), decoding)
         new = [w for w in new if w not in self.special]
@@ -176,11 +176,10 @@ class ByteBpe:
                 at = end
 
     def _note(self, word: str, ids: np.ndarray, decoding: bool) -> None:
-        if decoding:
+        if decoding:  # either kind of entry is complete in itself; a worker may be asked for both
             each = ids.tolist()
             self.said[word] = ",".join(map(str, each))
             self.back[word] = b"".join([self.bytes_of[i] for i in each])
-            self.ids[word] = b""
         else:
             self.ids[word] = ids.astype("<i4").tobytes()
 
