@@ -151,3 +151,15 @@ def test_leaks(spark):
     got = filters.leak_free(spark.createDataFrame(med, "assay string, mark int, channel string, fg double, bg double"), spark.createDataFrame(marks, "assay string, mark int, mark_row int, mark_col int, tag string"))
     # in the first row only the place after, in the last only the one before is looked at
     assert {r.mark: r.fine for r in got.collect()} == {0: False, 1: True, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_one_button_and_one_row(spark):
+    m = sl.microfluidic_chip(chip(1, 1), shape=(1, 1), **CHIP)["marks"].toPandas()
+    assert len(m) == 1 and abs(m.x[0] - 100) <= 5 and abs(m.y[0] - 100) <= 5 and abs(m.radius[0] - 10) <= 1
+    m = sl.microfluidic_chip(chip(1, 3).astype(np.float32), shape=(1, 3), **CHIP)["marks"].orderBy("mark").toPandas()
+    assert [round(v / 100) for v in m.x] == [1, 2, 3]
+
+
+def test_known_first_chamber(spark):
+    m = sl.microfluidic_chip(chip(2, 2), shape=(2, 2), top_chamber=70, left_chamber=70, **CHIP)["marks"].orderBy("mark").toPandas()
+    assert [(round(y), round(x)) for y, x in zip(m.y, m.x)] == [(100, 100), (100, 200), (200, 100), (200, 200)]
