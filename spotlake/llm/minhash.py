@@ -146,18 +146,23 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return sized.select("a", "b", "r_a", "r_b").mapInArrow(run, "a long, b long, e double")
 
 
+def _linked(x: bytes, y: bytes, per_cent: int) -> bool:
+    """100 * intersection >= per_cent * union of two sets of sorted hashes."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < per_cent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= per_cent * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= per_cent * union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                keep.append(100 * both >= per_cent * (len(x) + len(y) - both))
+            keep = [_linked(x, y, per_cent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -166,25 +171,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _apart(rows: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) of different components within the groups (key, i, j) of rows.
-
-    A task reads its rows sorted by group and holds one group (two blocks) at a time.
-    """
-
-    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-        change = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        group = np.concatenate([[0], np.cumsum(change)])
-        rep, comp, n, block = (t.column(c).to_numpy() for c in ("rep", "component", "n", "block"))
-        registers = _registers(t.column("registers"))
-        for d in range(1, int(np.bincount(group).max())):
-            at = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & ((i[d:] == j[d:]) | (block[d:] != block[:-d])))
-            at = at[np.minimum(n[at], n[at + d]) >= least * np.maximum(n[at], n[at + d])]
-            if len(at):
-                at = at[estimate(registers[at], registers[at + d]) >= least - SLACK]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[at], rep[at + d])), pa.array(np.maximum(rep[at], rep[at + d]))], names=["a", "b"])
+def _meetings(rows: DataFrame, columns: list[str], look, schema: str) -> DataFrame:
+    """look(table) -> batches, over whole groups (key, i, j) of rows. A task reads its rows sorted by group and holds a group (two blocks) at a time, besides a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -195,13 +183,62 @@ def _apart(rows: DataFrame, least: float) -> DataFrame:
             key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
             tail = int(np.argmax((key == key[-1]) & (i == i[-1]) & (j == j[-1])))  # the last group may go on
             if tail:
-                yield from pairs_of(t.slice(0, tail))
+                yield from look(t.slice(0, tail))
             held = t.slice(tail).to_batches()
         if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+            yield from look(pa.Table.from_batches(held))
+
+    return rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+MEETING = "key long, i int, j int, rep long, component long, n long, block int, band int, registers binary"
+
+
+def _likely_within(t: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of likely pairs of different components in the groups of t; a pair counts in the first band that it shares."""
+    key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+    change = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    group = np.concatenate([[0], np.cumsum(change)])
+    comp, n, block, band = (t.column(c).to_numpy() for c in ("component", "n", "block", "band"))
+    registers = _registers(t.column("registers"))
+    for d in range(1, int(np.bincount(group).max())):
+        at = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & ((i[d:] == j[d:]) | (block[d:] != block[:-d])))
+        at = at[np.minimum(n[at], n[at + d]) >= least * np.maximum(n[at], n[at + d])]
+        if len(at):
+            at = at[estimate(registers[at], registers[at + d]) >= least - SLACK]
+        if len(at):
+            same = (registers[at] == registers[at + d]).reshape(len(at), REGISTERS // BAND, BAND).all(axis=2)
+            at = at[same.argmax(axis=1) == band[at]]
+        if len(at):
+            yield at, at + d
+
+
+def _links_across(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) between components within the groups of rows (as MEETING).
+
+    First only rows with a likely partner stay, then these get their full sets and pairs are verified where they are:
+    pairs that are no links are never written.
+    """
+    least = per_cent / 100
+    columns = [f.split()[0] for f in MEETING.split(", ")]
+
+    def partnered(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(t.num_rows, dtype=bool)
+        for a, b in _likely_within(t, least):
+            keep[a] = keep[b] = True
+        yield from t.filter(pa.array(keep)).to_batches()
+
+    def verified(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rep, s = t.column("rep").to_numpy(), t.column("s").to_pylist()
+        for a, b in _likely_within(t, least):
+            hit = np.array([_linked(s[x], s[y], per_cent) for x, y in zip(a.tolist(), b.tolist())], dtype=bool)
+            if hit.any():
+                a, b = rep[a[hit]], rep[b[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    spread = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.select("key", "i", "j", "rep", "component", "n", "block", "registers").mapInArrow(run, "a long, b long").distinct()
+    some = _meetings(rows, columns, partnered, MEETING)
+    full = some.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep")
+    return _meetings(full, [*columns, "s"], verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,9 +255,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, id_col: str = "doc_id",
         sketched.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     )
     band = 2 * BAND
-    keys = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * band + 1, F.lit(band))))).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(keys.join(buckets, "key").select("key", "rep", "hub", "size"))
+    keys = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * band + 1, F.lit(band))))).alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    members = stored(keys.join(buckets, "key").select("key", "band", "rep", "hub"))
     active = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(full_sets(rows.join(active.hint("shuffle_hash"), "doc_id", "left_semi")))
 
@@ -239,12 +276,17 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, id_col: str = "doc_id",
     component = stored(connected_components(links))
 
     # buckets that still hold several components: all pairs of different ones, block against block
-    placed = of(members.select("key", "rep", "size"), "rep", "component")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    blocks = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meetings = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    apart = _apart(meetings.join(classes.select("rep", "n", "registers"), "rep"), least)
-    links = stored(links.unionByName(_verified(apart, sets, per_cent)))
+    placed = of(members.select("key", "band", "rep"), "rep", "component")
+    shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("mains"), F.sum("n").alias("all")).filter("mains < all")
+    # the main component's blocks come first and don't meet each other
+    a, b = F.ceil(F.col("mains") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int")
+    blocks = placed.join(mixed, "key").withColumns({"a": a, "b": b, "is_main": F.col("component") == F.col("main")})
+    at = F.xxhash64("rep")
+    blocks = blocks.withColumn("block", F.when(F.col("is_main"), F.pmod(at, F.col("a"))).otherwise(F.col("a") + F.pmod(at, F.col("b"))).cast("int"))
+    others = F.sequence(F.when(F.col("is_main"), F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)
+    meetings = blocks.withColumn("other", F.explode(others)).select("key", "band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    links = stored(links.unionByName(_links_across(meetings.join(classes.select("rep", "n", "registers"), "rep"), sets, per_cent)))
     component = connected_components(links)
 
     verdict = classes.select("digest", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
