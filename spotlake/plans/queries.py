@@ -322,9 +322,9 @@ def q_label_clusters(spark, d):
 
 LINES = """ideal_{a} AS (SELECT mark_{a} AS label, count(*) FILTER (tag <> '') AS ideal FROM chip GROUP BY 1),
 pts_{a} AS (SELECT mark_{a} AS label, {u} AS u, {v} AS v FROM chip WHERE tag <> ''),
-fit_{a} AS (SELECT label, count(*) AS n, regr_slope(v, u) AS s FROM pts_{a} GROUP BY 1), sl_{a} AS (SELECT coalesce(median(s) FILTER (n > 1), 0) AS slope FROM fit_{a}),
+fit_{a} AS (SELECT label, count(*) AS n, regr_slope(v, u) AS s, regr_intercept(v, u) AS b0 FROM pts_{a} GROUP BY 1), sl_{a} AS (SELECT coalesce(median(s) FILTER (n > 1), 0) AS slope FROM fit_{a}),
 res_{a} AS (SELECT label, count(*) AS n, median(v - slope * u) AS b FROM pts_{a}, sl_{a} GROUP BY 1), tr_{a} AS (SELECT regr_slope(b, label) AS m, regr_intercept(b, label) AS c FROM res_{a}),
-line_{a} AS (SELECT i.label, slope, CASE WHEN n IS NULL OR ideal = 0 THEN m * i.label + c ELSE least(n, ideal) / ideal * b + (1 - least(n, ideal) / ideal) * (m * i.label + c) END AS intercept
+line_{a} AS (SELECT i.label, slope, CASE WHEN (SELECT count(*) FROM ideal_{a}) = 1 THEN (SELECT max(b0) FROM fit_{a}) WHEN n IS NULL OR ideal = 0 THEN m * i.label + c ELSE least(n, ideal) / ideal * b + (1 - least(n, ideal) / ideal) * (m * i.label + c) END AS intercept
   FROM ideal_{a} i LEFT JOIN res_{a} r ON r.label = i.label, sl_{a}, tr_{a})"""
 ROW_LINES, COL_LINES = LINES.format(a="row", u="x", v="y"), LINES.format(a="col", u="y", v="x")
 
