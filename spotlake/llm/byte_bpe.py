@@ -23,8 +23,8 @@ from spotlake.llm.common import bounded_batches
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Words that a worker remembers; beyond it starts afresh.
-REMEMBERED = 200_000
-NO_RANK = np.int64(1) << 40
+REMEMBERED = 400_000
+NO_RANK = np.int32(1 << 30)
 
 
 @lru_cache(1)
@@ -89,41 +89,44 @@ class ByteBpe:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
         byte_of = {c: b for b, c in shown.items()}
-        self.byte_id = np.array([vocab[shown[b]] for b in range(256)], dtype=np.int64)
+        self.base = np.uint32(max(vocab.values()) + 1)
+        if int(self.base) ** 2 > 1 << 32:
+            raise ValueError("keys of pairs need 32 bits at most")
+        self.byte_id = np.array([vocab[shown[b]] for b in range(256)], dtype=np.uint32)
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.int64)
+        key = np.array([vocab[a] * int(self.base) + vocab[b] for a, b in pairs], dtype=np.uint32)
         order = np.argsort(key, kind="stable")
-        self.keys, self.rank = key[order], order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
+        self.keys, self.rank = key[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.uint32)[order]
         self.ids: dict[str, bytes] = {}  # word -> its ids as int32 bytes
         self.said: dict[str, str] = {}  # word -> its ids in decimals, joined by commas
         self.back: dict[str, bytes] = {}  # word -> bytes that its ids decode to
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs of symbols, NO_RANK where they don't merge, and what they merge to."""
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        return np.where(known, self.rank[at], NO_RANK), self.merged[at]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words laid end to end, number of ids of each word). No word is empty."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         sym = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        rank, to = np.full(len(sym), NO_RANK), np.zeros(len(sym), dtype=self.byte_id.dtype)
+        if len(sym) > 1:
+            rank[:-1], to[:-1] = self._ranks(sym[:-1], sym[1:])
+            rank[:-1][word[1:] != word[:-1]] = NO_RANK
         done_sym, done_word = [], []
         while len(sym):
-            first = np.empty(len(sym), dtype=bool)
-            first[0] = True
-            np.not_equal(word[1:], word[:-1], out=first[1:])
-            rank = np.full(len(sym), NO_RANK)
-            to = np.zeros(len(sym), dtype=np.int64)
-            inside = np.flatnonzero(~first[1:])
-            key = sym[inside] << 20 | sym[inside + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            rank[inside[known]] = self.rank[at[known]]
-            to[inside[known]] = self.merged[at[known]]
-            starts = np.flatnonzero(first)
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, starts)
-            span = np.diff(np.append(starts, len(sym)))
-            best_of = np.repeat(best, span)
+            best_of = np.repeat(best, np.diff(np.append(starts, len(sym))))
             over = best_of == NO_RANK
             if over.any():
                 done_sym.append(sym[over])
@@ -133,13 +136,20 @@ class ByteBpe:
                 fresh = np.append(True, np.diff(pick) != 1)
                 head = np.maximum.accumulate(np.where(fresh, pick, 0))
                 pick = pick[(pick - head) % 2 == 0]
-                sym = sym.copy()
                 sym[pick] = to[pick]
             keep = ~over
             keep[pick + 1] = False
-            sym, word = sym[keep], word[keep]
-        if not done_sym:
-            return np.zeros(0, dtype=np.int64), sizes
+            changed = (np.cumsum(keep) - 1)[pick]
+            sym, word, rank, to = sym[keep], word[keep], rank[keep], to[keep]
+            if len(changed):  # only pairs with a new symbol get new ranks
+                flag = np.zeros(len(sym) + 1, dtype=bool)
+                flag[changed] = flag[changed - 1] = True  # -1 falls on the spare last place
+                at = np.flatnonzero(flag[:-1])
+                last = at == len(sym) - 1
+                inner = at[~last]
+                fresh_rank, to[inner] = self._ranks(sym[inner], sym[inner + 1])
+                rank[inner] = np.where(word[inner] == word[inner + 1], fresh_rank, NO_RANK)
+                rank[at[last]] = NO_RANK
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
@@ -162,7 +172,7 @@ class ByteBpe:
         """Make the entries of words that are not known yet."""
         if len(self.ids) + len(self.said) > REMEMBERED:
             self.ids, self.said, self.back = {}, {}, {}
-        new = sorted(words.difference(self.said if decoding else self.ids))
+        new = list(words.difference(self.said if decoding else self.ids))
         for token in [w for w in new if w in self.special]:
             self._note(token, np.array([self.special[token]], dtype=np.int64), decoding)
         new = [w for w in new if w not in self.special]
@@ -178,7 +188,7 @@ class ByteBpe:
     def _note(self, word: str, ids: np.ndarray, decoding: bool) -> None:
         if decoding:  # either kind of entry is complete in itself; a worker may be asked for both
             each = ids.tolist()
-            self.said[word] = ",".join(map(str, each))
+            self.said[word] = ",".join([self.decimal[i] for i in each])
             self.back[word] = b"".join([self.bytes_of[i] for i in each])
         else:
             self.ids[word] = ids.astype("<i4").tobytes()
