@@ -163,3 +163,27 @@ def test_one_button_and_one_row(spark):
 def test_known_first_chamber(spark):
     m = sl.microfluidic_chip(chip(2, 2), shape=(2, 2), top_chamber=70, left_chamber=70, **CHIP)["marks"].orderBy("mark").toPandas()
     assert [(round(y), round(x)) for y, x in zip(m.y, m.x)] == [(100, 100), (100, 200), (200, 100), (200, 200)]
+
+
+def test_coded_beads_from_end_to_end(spark, tmp_path):
+    spectra = pd.DataFrame([[1.0, 0.2, 0.1, 0.0], [0.1, 1.0, 0.3, 0.1], [0.0, 0.2, 1.0, 0.4]], index=["eu", "dy", "sm"], columns=list("abcd"))
+    codes = pd.DataFrame([[1.0, 0.2, 0.3], [1.0, 0.2, 0.9], [1.0, 0.8, 0.3], [1.0, 0.8, 0.9]], index=["k0", "k1", "k2", "k3"], columns=["eu", "dy", "sm"])
+    spectra.rename_axis("name").to_csv(tmp_path / "spectra.csv")
+    codes.rename_axis("name").to_csv(tmp_path / "codes.csv")
+    rng = np.random.default_rng(0)
+    places = [(40 + 50 * i, 40 + 50 * j) for i in range(8) for j in range(8)]
+    own = rng.integers(0, 4, len(places))
+    volumes = codes.to_numpy()[own] * 2000 * (1 + rng.normal(0, 0.01, (len(places), 3)))
+    mixed = volumes @ spectra.to_numpy()
+    image = np.stack([beads(440, places, values=[int(v) for v in mixed[:, c]]) + rng.integers(0, 3, (440, 440)).astype(np.uint16) for c in range(4)])
+    out = sl.mrbles(
+        from_numpy(image, ("channel", "y", "x"), {"channel": list("abcd")}), str(tmp_path / "spectra.csv"), str(tmp_path / "codes.csv"), min_bead_diameter=16, max_bead_diameter=24, overlap=0,
+        num_iter=60_000, search_channel="a", reference="eu",
+    )
+    m = out["marks"].toPandas()
+    want = {p: f"k{k}" for p, k in zip(places, own)}
+    near = {(y, x): t for y, x, t in zip(m.y, m.x, m.tag) if (y, x) in want}
+    assert len(near) >= 60 and np.mean([near[p] == want[p] for p in near]) > 0.85
+    assert out["ln"].count() == 3 * len(m)
+    with pytest.raises(ValueError):
+        sl.mrbles(image, spectra, codes, reference="tm", overlap=0, min_bead_diameter=16, max_bead_diameter=24, num_iter=100)
