@@ -9,7 +9,6 @@ reader can begin anywhere.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +80,7 @@ def _told(folder: str, shard: int, sequence: int) -> pa.Table:
     return pa.table(
         {
             "doc_id": pa.array(data["doc_id"]), "part": pa.array(data["part"]), "n_tokens": pa.array(data["n"]), "shard": pa.array(np.full(len(data), shard, dtype=np.int32)),
-            "place": pa.array(np.arange(len(data))), "sha256": pa.array([hashlib.sha256(r["ids"][: r["n"]].tobytes()).hexdigest() for r in data], pa.string()),
+            "place": pa.array(np.arange(len(data))), "checksum": pa.array(np.array([xxhash.xxh64_intdigest(r["ids"][: r["n"]].tobytes()) for r in data], dtype=np.uint64).view(np.int64)),
         }
     )
 
@@ -89,7 +89,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, key: int = 20240229, s
     """Encode docs with the tokenizer file at `path` and write shard-NNNNNN.bin into `folder`, shared by all executors.
 
     Returns, lazily and writing when it is run, a row per sequence: doc_id, part, n_tokens, shard, place (in the shard),
-    sha256 (of its ids as 16-bit little-endian numbers, read back). A file is written under another name and then renamed, so a task that runs again,
+    checksum (64-bit xxHash of its ids as 16-bit little-endian numbers, read back). A file is written under another name and then renamed, so a task that runs again,
     also beside its first attempt, leaves one whole file. A null or empty text has one sequence without ids; a null id
     counts as -1; rows that repeat an id have a record each, in no fixed order between them. No rows, no files.
     Only the two columns are read.
@@ -138,12 +138,12 @@ def write_shards(docs: DataFrame, path: str, folder: str, key: int = 20240229, s
         fs.move(other, name)
         return _told(folder, shard, sequence)
 
-    schema = "doc_id long, part int, n_tokens int, shard int, place long, sha256 string"
+    schema = "doc_id long, part int, n_tokens int, shard int, place long, checksum long"
     return rows.mapInArrow(encode, "shard int, record binary").groupBy("shard").applyInArrow(put, schema)
 
 
 def in_training_order(docs: DataFrame, path: str, folder: str | None = None, **options) -> DataFrame:
-    """One row per sequence: doc_id, part, n_tokens, slot (global, from 0), shard, offset (bytes in the shard), sha256.
+    """One row per sequence: doc_id, part, n_tokens, slot (global, from 0), shard, offset (bytes in the shard), checksum.
 
     Writes the shards, by default into a fresh folder under the cluster's shared folder; the slots follow from the
     numbers of sequences in the shards.
@@ -155,4 +155,4 @@ def in_training_order(docs: DataFrame, path: str, folder: str | None = None, **o
     starts = counts.select("shard", (F.sum("count").over(Window.orderBy("shard")) - F.col("count")).alias("first"))
     size = record_type(options.get("sequence", SEQUENCE)).itemsize
     # a row for each shard; shards are a fixed share of the documents
-    return written.join(starts, "shard").select("doc_id", "part", "n_tokens", (F.col("first") + F.col("place")).alias("slot"), "shard", (F.col("place") * size).alias("offset"), "sha256")
+    return written.join(starts, "shard").select("doc_id", "part", "n_tokens", (F.col("first") + F.col("place")).alias("slot"), "shard", (F.col("place") * size).alias("offset"), "checksum")

@@ -29,6 +29,6 @@ def test_round_trip_and_repetition(odd, none, tmp_path):
             ids += record["ids"][: record["n"]].tolist()
         assert ids == library.encode(text or "", add_special_tokens=False).ids
     again = ts.in_training_order(odd, PATH, folder, docs_per_shard=3, sequence=64).toPandas()
-    own = lambda df: set(map(tuple, df[~df.doc_id.isin([-1, 4])][["doc_id", "part", "n_tokens", "sha256"]].to_numpy().tolist()))
+    own = lambda df: set(map(tuple, df[~df.doc_id.isin([-1, 4])][["doc_id", "part", "n_tokens", "checksum"]].to_numpy().tolist()))
     assert own(again) == own(got) and sorted(again.slot) == sorted(got.slot)
     assert ts.in_training_order(none, PATH, str(tmp_path / "no")).count() == 0
