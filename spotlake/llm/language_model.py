@@ -4,7 +4,7 @@ Tokens are lower-cased words and one end per text. The commonest words are symbo
 others one shared symbol that is followed by a choice among the rest by smoothed counts, so the score
 is the log-probability of the complete text. The output softmax is factored into classes. Training is
 truncated backpropagation through time: first on a bounded number of texts, then by every partition on
-windows of each of its training texts, whose weights are averaged. Scoring carries the state over the
+all windows of each of its training texts, whose weights are averaged. Scoring carries the state over the
 windows of a text from its beginning to its end. Word counts cover all training texts; those of rare
 words are never gathered but joined.
 """
@@ -29,8 +29,8 @@ HEAD, SYMBOLS = 65_536, 1022
 HIDDEN, CLASSES, WINDOW = 16, 31, 32
 OTHER, END = 0, 1  # symbols; the end is the empty word in counts
 FIRST_TEXTS = 256
-#: Each training text gives the averaged pass SPAN tokens out of every STRIDE, from a place that its length fixes.
-SPAN, STRIDE = 64, 1024
+#: Texts and tokens that the averaged pass holds before it trains on them.
+HELD_TEXTS, HELD_TOKENS = 2048, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -144,7 +144,7 @@ class Gru:
         return total
 
     def train(self, pieces: list[np.ndarray], epochs: int = 1, lanes: int = 64, rate: float = 0.01) -> None:
-        """Truncated backpropagation over windows of the pieces, `lanes` pieces side by side; Adam steps."""
+        """Truncated backpropagation over all windows of the pieces, `lanes` pieces side by side, the state carried; Adam steps."""
         pieces = sorted((p for p in pieces if len(p)), key=len)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -153,15 +153,16 @@ class Gru:
         for epoch in range(epochs):
             for b in np.random.default_rng(epoch).permutation(len(batches)):
                 batch = batches[b]
-                longest = len(batch[-1])
-                grid = np.full((len(batch), longest), -1)
-                for i, p in enumerate(batch):
-                    grid[i, : len(p)] = p
                 h = np.zeros((len(batch), HIDDEN), dtype=np.float32)
                 last = np.full(len(batch), END)
-                for t0 in range(0, longest, WINDOW):
+                for t0 in range(0, len(batch[-1]), WINDOW):
                     n += 1
-                    grads, h, last = self._window(grid[:, t0 : t0 + WINDOW], h, last)
+                    over = sum(len(p) <= t0 for p in batch)  # the shortest come first
+                    batch, h, last = batch[over:], h[over:], last[over:]
+                    grid = np.full((len(batch), min(WINDOW, len(batch[-1]) - t0)), -1)
+                    for i, p in enumerate(batch):
+                        grid[i, : len(p) - t0] = p[t0 : t0 + WINDOW]
+                    grads, h, last = self._window(grid, h, last)
                     for k, g in grads.items():
                         m[k] += np.float32(0.1) * (g - m[k])
                         s[k] += np.float32(0.01) * (g * g - s[k])
@@ -249,19 +250,18 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def _averaged(docs: DataFrame, head: Head, model: Gru, groups: int = 16) -> Gru:
-    """The mean, weighted by tokens, of what each partition makes of model on windows of all its texts."""
+    """The mean, weighted by tokens, of what each partition makes of model on all tokens of all its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        own, tokens, held = pickle.loads(pickle.dumps(model)), 0, []
+        own, tokens, held, waiting = pickle.loads(pickle.dumps(model)), 0, [], 0
         for pdf in batches:
             for text in pdf["text"]:
-                symbols = head.encode(head.places(words_of(text)))
-                for lo in range((len(symbols) * 31) % STRIDE if len(symbols) > STRIDE else 0, len(symbols), STRIDE):
-                    held.append(symbols[lo : lo + SPAN].astype(np.int64))
-                    tokens += len(held[-1])
-            if len(held) >= 2048:
-                own.train(held, rate=0.003)
-                held = []
+                held.append(head.encode(head.places(words_of(text))).astype(np.int64))
+                tokens += len(held[-1])
+                waiting += len(held[-1])
+                if len(held) >= HELD_TEXTS or waiting >= HELD_TOKENS:
+                    own.train(held, rate=0.003)
+                    held, waiting = [], 0
         own.train(held, rate=0.003)
         if tokens:
             yield pd.DataFrame({"tokens": [tokens], "w": [pickle.dumps(own.w)], "part": [int(np.uint32(tokens * 2654435761 & 0xFFFFFFFF)) % groups]})

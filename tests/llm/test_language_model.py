@@ -76,6 +76,14 @@ def test_learns_order(frame):
     assert got[1001].score > got[1002].score and got[1001].score > got[1001].base_score
 
 
+def test_averaged_pass_learns_from_whole_texts(frame, monkeypatch):
+    monkeypatch.setattr(lm, "FIRST_TEXTS", 0)  # what is learned comes from the averaged pass alone
+    start = "z " * 100  # longer than a piece of the former pass
+    rows = [(i, start + "a b c d " * 30) for i in range(500)] + [(1001, start + "a b c d " * 30)]
+    got = {r.doc_id: r for r in lm.score_texts(frame(rows).coalesce(1)).collect()}
+    assert all(r.score > r.base_score + 20 for r in got.values())  # 3 before, when only the first 64 tokens were learned from
+
+
 def test_odd_rows(odd, none):
     got = lm.score_texts(odd).collect()
     assert len(got) == odd.count() and lm.score_texts(none).count() == 0
