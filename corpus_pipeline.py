@@ -8,12 +8,13 @@ from spotlake.llm import byte_bpe, exact_dedup, language_id, minhash, mixing
 from spotlake.llm.common import stored
 from spotlake.llm.queries import tokenizer_path
 
-#: Documents whose language is less sure than this go; those without a letter have score 0.
+#: Documents whose language is less sure than this go. The score weighs the learned languages against each other and is at least 0.25
+#: with en, de, es and fr; text that reads like none of them goes by its likeness, see language_id.keep_sure.
 LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that the model is sure of, go."""
+    """Documents without a letter, or that read like no language that the model knows, go."""
     return language_id.keep_sure(docs, LEAST_SCORE)
 
 

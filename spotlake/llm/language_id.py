@@ -6,7 +6,7 @@ Features are hashed counts of letter bigrams, trigrams and word beginnings over
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +18,8 @@ from spotlake.llm.common import bounded_batches
 
 DIM = 2048
 UNDETERMINED = "und"
+#: How far below the least known of the labelled texts a text may lie, as a share of that one's distance to the median.
+SLACK = 0.25
 
 #: Families of common language codes. A code that is missing here is a family of its own.
 FAMILIES = {
@@ -67,11 +69,26 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 300.0, rounds: int = 150
     return w[:-1].astype(np.float32), float(w[-1]), slope
 
 
+def profile(x: np.ndarray) -> np.ndarray:
+    """Logs of the mean shares of features, lightly smoothed; the squares of a row of x are the shares of its features."""
+    share = (x.astype(np.float64) ** 2).sum(axis=0) + 1 / DIM
+    return np.log(share / share.sum())
+
+
+def floor_of(x: np.ndarray) -> float:
+    """A mean log share that texts of the language of x stay above: each half of x is read with the profile of the other."""
+    if len(x) < 2:
+        return -np.inf
+    read = np.concatenate([x[i::2].astype(np.float64) ** 2 @ profile(x[1 - i :: 2]) for i in (0, 1)])
+    return float(read.min() - SLACK * (np.median(read) - read.min()))
+
+
 @dataclass
 class LanguageModel:
     families: dict[str, list[str]]
     family_svm: dict[str, tuple[np.ndarray, float, float]]  # one against the rest
     pair_svm: dict[tuple[str, str], tuple[np.ndarray, float, float]]
+    profiles: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)  # of each language, with its floor
 
     @classmethod
     def fit(cls, x: np.ndarray, lang: np.ndarray, family_of: dict[str, str] = FAMILIES) -> LanguageModel:
@@ -85,7 +102,16 @@ class LanguageModel:
             for a, b in combinations(codes, 2):
                 some = (lang == a) | (lang == b)
                 of_pair[a, b] = linear_svm(x[some], np.where(lang[some] == a, 1.0, -1.0))
-        return cls(families, of_family, of_pair)
+        return cls(families, of_family, of_pair, {c: (profile(x[lang == c]), floor_of(x[lang == c])) for c in set(lang)})
+
+    def knows(self, x: np.ndarray, lang: list[str]) -> np.ndarray:
+        """Whether the rows of x read like the labelled texts of the languages that they were given, and not only more like them than like others."""
+        out = np.zeros(len(x), dtype=bool)
+        for i, (row, code) in enumerate(zip(x, lang)):
+            if code in self.profiles:
+                logs, floor = self.profiles[code]
+                out[i] = row.astype(np.float64) ** 2 @ logs >= floor
+        return out
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages and scores of the rows of x: the probability of the family times that of the language in it."""
@@ -188,17 +214,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_sure(docs: DataFrame, least: float) -> DataFrame:
-    """The rows of docs (with doc_id, text, lang) whose predicted language has a score of at least `least`; their own columns."""
+    """The rows of docs (with doc_id, text, lang) in a language that the model knows, with a score of at least `least`; their own columns.
+
+    The score only weighs the learned languages against each other, so the text must also read like the labelled texts of its language.
+    """
     bounded_batches(docs.sparkSession)
     model = learn(docs)
-    predictor = _predictor(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = next(predictor(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(text_at)], names=["doc_id", "text"])])))
-            yield batch.filter(pa.array((found.column(2).to_numpy() >= least) & (np.array(found.column(1).to_pylist(), dtype=object) != UNDETERMINED)))
+            x = [features(t or "") for t in batch.column(text_at).to_pylist()]
+            at = [i for i, v in enumerate(x) if v is not None]
+            keep = np.zeros(len(x), dtype=bool)
+            if at:
+                known = np.vstack([x[i] for i in at])
+                lang, score = model.predict(known)
+                keep[at] = (score >= least) & model.knows(known, lang)
+            yield batch.filter(pa.array(keep))
 
     text_at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

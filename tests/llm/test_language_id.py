@@ -43,3 +43,10 @@ def test_keep_sure(frame):
     df = frame([*docs(60), (900, None), (902, "12 34 !")])
     out = language_id.keep_sure(df, 0.2)
     assert out.columns == df.columns and out.count() == 60
+
+
+def test_keep_sure_rejects_what_no_language_is_like(frame):
+    junk = ["qzxv kjwq xxzk vvqp zkqj wqxz jjkv qpzx", "a1b2c3 X9Z8 <div class=x> </td> {k:v} 0xQQ zz9", "talossa asuu vanha mies joka ei koskaan lähtenyt kylästä pois", "это русский текст о доме и воде"]
+    df = frame([*docs(), *[(900 + i, t, None, "s") for i, t in enumerate(junk)]])
+    kept = {r.doc_id for r in language_id.keep_sure(df, 0.2).collect()}
+    assert kept == set(range(240))
