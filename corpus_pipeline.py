@@ -11,6 +11,8 @@ from spotlake.llm.queries import tokenizer_path
 #: Documents whose language is less sure than this go. The score weighs the learned languages against each other and is at least 0.25
 #: with en, de, es and fr; text that reads like none of them goes by its likeness, see language_id.keep_sure.
 LEAST_SCORE = 0.2
+#: The column that carries the mixed order; the order of rows does not outlast writing and reading files.
+POSITION = "mixed_position"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; they are written in an order that follows the weights of the sources."""
-    return mixing.in_mixed_order(docs)
+    """All documents stay and get a position in an order that follows the weights of the sources."""
+    return mixing.in_mixed_order(docs, position_col=POSITION)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded text."""
-    return byte_bpe.round_trips(docs, tokenizer_path())
+    """Token counts, digests of ids and of the decoded text, and the position in the mixed order."""
+    return byte_bpe.round_trips(docs, tokenizer_path(), position_col=POSITION)
 
 
 STAGES = [

@@ -227,11 +227,12 @@ def tokenizer(path: str) -> ByteBpe:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, number of ids, digests of the ids and of the text decoded from them.
 
     path: the tokenizer file, at the same place on every executor. A null text counts as empty and has no
-    ids; a null id stays null; repeated rows are each encoded; other columns are not read.
+    ids; a null id stays null; repeated rows are each encoded; other columns are not read, except that the long
+    position_col, if given, is passed on as the last column `position`.
     """
     bounded_batches(docs.sparkSession)
 
@@ -244,8 +245,11 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 ids.append(hashlib.sha256(said.encode()).hexdigest())
                 back.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), *batch.columns[2:]],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *position],
             )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, SCHEMA)
+    position = ["position"] if position_col else []
+    passed = [F.col(f"`{position_col}`").cast("long").alias("position")] if position_col else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *passed)
+    return rows.mapInArrow(run, SCHEMA + ", position long" if position_col else SCHEMA)

@@ -120,11 +120,16 @@ def mix(
     return placed.select("doc_id", "source", "block", "slot", "release", "deadline", (F.col("start") + F.col("rank") % F.lit(block)).alias("position"))
 
 
-def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16) -> DataFrame:
-    """All rows of docs, with their own columns, dealt out in ranges of the mixed order and sorted by it."""
+def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16, position_col: str | None = None) -> DataFrame:
+    """All rows of docs, with their own columns, dealt out in ranges of the mixed order and sorted by it.
+
+    Files that are read again come in another order, so position_col, if given, names a further column with the position;
+    rows that repeat an id in a source share the first of theirs.
+    """
     order = stored(mix(docs, weights, block).select(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("__source"), "position"))
     first = order.groupBy("__id", "__source").agg(F.sort_array(F.collect_list("position")).alias("__places"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__source"))
     # rows that repeat an id follow each other, so the first place of the id orders them all
     placed = docs.join(first, same, "left").withColumn("__at", F.col("__places")[0])
-    return placed.repartitionByRange("__at").sortWithinPartitions("__at").select(*[F.col(f"`{c}`") for c in docs.columns])
+    position = [F.col("__at").alias(position_col)] if position_col else []
+    return placed.repartitionByRange("__at").sortWithinPartitions("__at").select(*[F.col(f"`{c}`") for c in docs.columns], *position)

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from spotlake.llm import exact_dedup, minhash
+from spotlake.llm import exact_dedup, language_id, minhash, mixing
 from spotlake.llm.common import connected_components
 from spotlake.llm.queries import oracle_sql, queries
 
@@ -31,6 +31,17 @@ def test_pipeline(spark, frame, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "minhash", "mixing", "byte_bpe"]
 
 
+def test_mixed_order_reaches_the_result(spark, frame, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, f"the house number{i} and the water{i * 7} of that river{i * 13} with this{i * 29}", "en", f"s{i % 5 % 3}") for i in range(90)]
+    frame(rows).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = minhash.keep_one(exact_dedup.keep_one(language_id.keep_sure(frame(rows), corpus_pipeline.LEAST_SCORE)))
+    want = [r.doc_id for r in sorted(mixing.mix(kept).collect(), key=lambda r: r.position)]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in got) == list(range(len(want))) and len(want) > 45
+
+
 def test_registered():
     assert sorted(k.split("_")[0] for k in queries()) == sorted(f"op{i}" for i in range(1, 11))
     assert set(oracle_sql()) <= set(queries())
