@@ -286,7 +286,7 @@ def _drawn(spark, d):
 
 @query()
 def q_find_circles(spark, d):
-    return find.detect(_drawn(spark, d), low_quantile=0.1, high_quantile=0.9, grid=20, n_iter=20_000, min_radius=8, max_radius=12, min_roundness=0.3, min_dist=8)
+    return find.detect(_drawn(spark, d), low_quantile=0.1, high_quantile=0.9, grid=20, n_iter=5_000_000, min_radius=8, max_radius=12, min_roundness=0.3, min_dist=8)
 
 
 # ---- grids ----
@@ -355,7 +355,7 @@ def q_find_beads(spark, d):
     from spotlake.model import Assay, table
 
     a = Assay({"image": _drawn(spark, d), "dims": table("dims", [("a", "channel", 0, "0", {}), ("a", "time", 0, "0", {})])}, {"name": "a"})
-    out = find.find_beads(a, 16, 24, num_iter=20_000)
+    out = find.find_beads(a, 16, 24)
     return out["marks"].select("mark", "y", "x", "radius", F.round("score", 6).alias("score"), "valid")
 
 
@@ -365,7 +365,7 @@ def q_find_buttons(spark, d):
 
     chip = lenses.chip(spark, d)
     a = Assay({"image": _drawn(spark, d), "tags": chip.select("mark_row", "mark_col", "tag"), "dims": table("dims", [("a", "channel", 0, "0", {}), ("a", "time", 0, "0", {})])}, {"name": "a"})
-    out = find.find_buttons(a, row_dist=100, col_dist=100, min_button_diameter=16, max_button_diameter=32, num_iter=20_000)
+    out = find.find_buttons(a, row_dist=100, col_dist=100, min_button_diameter=16, max_button_diameter=32)
     return out["marks"].select("mark", "mark_row", "mark_col", "y", "x", "radius", "tag", "valid")
 
 
