@@ -69,7 +69,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
+    """The rows of docs that stay, with their own columns: of equal texts (null counts as empty) the row with the largest id, a row without an id only if none has one.
+
+    Of rows that repeat an id one stays; very long texts are compared whole; columns may have any names; no rows give none.
+    """
     return content_sort(docs, carry=True).filter("kept").select("row.*")
 
 

@@ -2,7 +2,8 @@
 
 1. Each text becomes its set of hashed word shingles; equal sets form a class that its smallest id stands for.
 2. A class gets REGISTERS registers: of the least hash in each bucket, its leading-zero count and ten bits after the
-   leading one. Registers of empty buckets are borrowed from others, in an order fixed by the bucket.
+   leading one. For buckets that stay empty the set is hashed and dealt out anew, until each has an element of its own;
+   so registers agree with the chance of the similarity, and independently, however small the sets are.
 3. Bands of registers are keys; classes that share a key are candidates. They are first compared with the smallest
    class of their bucket only. What that leaves apart within a bucket is then compared in blocks of bounded size.
 4. Candidates whose collision-corrected estimate of the Jaccard similarity is far below the threshold go; the others
@@ -21,14 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import bounded_batches, connected_components, stored
+from spotlake.llm.common import Scratch, bounded_batches, component_of, connected_components, grown, join_groups, scratch
 
 WORDS = 5
 REGISTERS, BAND, MANTISSA = 160, 4, 10
 #: Chance that registers of unrelated minima agree, by which the estimate is corrected.
 COLLISION = 0.17 / (1 << MANTISSA)
-#: Estimates below threshold - SLACK are not verified; about 4.5 standard deviations at 160 registers.
-SLACK = 0.15
+#: Estimates below threshold - SLACK are not verified; 5.8 standard deviations at 160 registers and a similarity of 0.75.
+SLACK = 0.2
+#: Elements dealt out at once to buckets that are empty.
+THROWN = 1600
 BLOCK = 256
 REMEMBERED = 500_000
 
@@ -69,27 +72,45 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Least hash of each bucket; for each bucket the order in which it asks others when empty."""
-    low = np.array([-(-(k << 64) // REGISTERS) for k in range(REGISTERS)], dtype=np.uint64)
-    order = np.vstack([np.argsort(mix(np.arange(REGISTERS, dtype=np.uint64) + np.uint64((k + 1) << 20))) for k in range(REGISTERS)])
-    return low, order
+def _lows() -> np.ndarray:
+    """Least hash of each bucket."""
+    return np.array([-(-(k << 64) // REGISTERS) for k in range(REGISTERS)], dtype=np.uint64)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """The bucket of each hash: the last one whose least hash it reaches."""
+    return np.searchsorted(_lows(), h, side="right") - 1
+
+
+def _dealt_anew(u: np.ndarray, empty: np.ndarray) -> np.ndarray:
+    """For each bucket of `empty` the least hash in the first further round that puts an element of u there."""
+    found, missing, first = np.zeros(REGISTERS, dtype=np.uint64), empty, 1
+    while len(missing):
+        rounds = -(-THROWN // len(u))
+        h = mix(u[None, :] ^ mix(np.arange(first, first + rounds, dtype=np.uint64))[:, None])
+        h.sort(axis=1)
+        backwards = h.reshape(-1)[::-1]  # what is put last is the least of the earliest round
+        thrown, got = np.zeros(REGISTERS, dtype=np.uint64), np.zeros(REGISTERS, dtype=bool)
+        bucket = _bucket(backwards)
+        thrown[bucket], got[bucket] = backwards, True
+        now = missing[got[missing]]
+        found[now] = thrown[now]
+        missing, first = missing[~got[missing]], first + rounds
+    return found[empty]
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
     """REGISTERS 16-bit registers of a set of sorted hashes, not empty."""
-    low, order = _tables()
+    low = _lows()
     at = np.searchsorted(u, low)
-    own = at < np.append(at[1:], len(u))
-    rest = ((u[np.minimum(at, len(u) - 1)] - low) * np.uint64(REGISTERS)).astype(np.float64)
+    least = u[np.minimum(at, len(u) - 1)]
+    empty = np.flatnonzero(at >= np.append(at[1:], len(u)))
+    if len(empty):
+        least[empty] = _dealt_anew(u, empty)
+    rest = ((least - low) * np.uint64(REGISTERS)).astype(np.float64)
     part, power = np.frexp(np.maximum(rest, 1.0))
     zeros = np.minimum(64 - np.minimum(power, 64), 62)
-    out = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
-    if not own.all():
-        empty = np.flatnonzero(~own)
-        lender = order[empty, own[order[empty]].argmax(axis=1)]
-        out[empty] = out[lender]
-    return out
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,55 +262,54 @@ def _links_across(rows: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return _meetings(full, [*columns, "s"], verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = 75, id_col: str = "doc_id", text_col: str = "text", into: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id that links reach), kept (doc_id is that).
 
     A null or empty text, or one without words, has no shingles and links with nothing; so does a row without an id,
     whose component is null and which is kept. Rows that repeat an id are one document with all their links; each is
-    reported. An empty table gives no rows. Other columns are not looked at, whatever their names.
+    reported. An empty table gives no rows. Very long texts are read whole. Other columns are not looked at, whatever
+    their names. The result is a table in `into`; all others are deleted.
     """
+    into = into or Scratch(docs.sparkSession)
+    with scratch(docs.sparkSession) as own:
+        return into.stored(_verdicts(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), per_cent, own))
+
+
+def _verdicts(rows: DataFrame, per_cent: int, own: Scratch) -> DataFrame:
     least = per_cent / 100
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketched = stored(sketches(rows))
-    classes = stored(
+    sketched = own.stored(sketches(rows))
+    classes = own.stored(
         sketched.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     )
     band = 2 * BAND
     keys = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * band + 1, F.lit(band))))).alias("band", "key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    members = stored(keys.join(buckets, "key").select("key", "band", "rep", "hub"))
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = own.stored(join_groups(keys, buckets, "key", "size", classes.count() * (REGISTERS // BAND)).select("key", "band", "rep", "hub"))
     active = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(full_sets(rows.join(active.hint("shuffle_hash"), "doc_id", "left_semi")))
+    sets = own.stored(full_sets(rows.join(active.hint("shuffle_hash"), "doc_id", "left_semi")))
 
     # every class against the smallest of its buckets: the likeliest one first, then the others that are still apart
-    stars = stored(_likely(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), classes, least))
+    stars = own.stored(_likely(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), classes, least))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
-    links = stored(_verified(best, sets, per_cent))
-    component = stored(connected_components(links))
-
-    def of(df: DataFrame, node: str, name: str) -> DataFrame:
-        known = component.select(F.col("node").alias(node), F.col("component").alias("known"))
-        return df.join(known, node, "left").withColumn(name, F.coalesce("known", node)).drop("known")
+    component = connected_components(_verified(best, sets, per_cent), own)
 
-    rest = of(of(stars.join(best, ["a", "b"], "left_anti"), "a", "c_a"), "b", "c_b").filter("c_a <> c_b")
-    links = stored(links.unionByName(_verified(rest, sets, per_cent)))
-    component = stored(connected_components(links))
+    rest = component_of(component_of(stars.join(best, ["a", "b"], "left_anti"), component, "a", "c_a"), component, "b", "c_b").filter("c_a <> c_b")
+    component = grown(component, _verified(rest, sets, per_cent), own)
 
     # buckets that still hold several components: all pairs of different ones, block against block
-    placed = of(members.select("key", "band", "rep"), "rep", "component")
+    placed = component_of(members.select("key", "band", "rep"), component, "rep", "component")
     shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("mains"), F.sum("n").alias("all")).filter("mains < all")
     # the main component's blocks come first and don't meet each other
-    a, b = F.ceil(F.col("mains") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int")
-    blocks = placed.join(mixed, "key").withColumns({"a": a, "b": b, "is_main": F.col("component") == F.col("main")})
+    mixed = mixed.withColumns({"a": F.ceil(F.col("mains") / BLOCK).cast("int"), "b": F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int")}).drop("mains")
+    blocks = join_groups(placed, own.stored(mixed), "key", "all", members.count()).withColumn("is_main", F.col("component") == F.col("main"))
     at = F.xxhash64("rep")
     blocks = blocks.withColumn("block", F.when(F.col("is_main"), F.pmod(at, F.col("a"))).otherwise(F.col("a") + F.pmod(at, F.col("b"))).cast("int"))
     others = F.sequence(F.when(F.col("is_main"), F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)
     meetings = blocks.withColumn("other", F.explode(others)).select("key", "band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = stored(links.unionByName(_links_across(meetings.join(classes.select("rep", "n", "registers"), "rep"), sets, per_cent)))
-    component = connected_components(links)
+    component = grown(component, _links_across(meetings.join(classes.select("rep", "n", "registers"), "rep"), sets, per_cent), own)
 
-    verdict = classes.select("digest", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
+    verdict = component_of(classes.select("digest", "rep"), component, "rep", "found").select("digest", "found")
     # a set of an id that stands for another set as well may be reached through that id alone
     by_id = component.select(F.col("node").alias("doc_id"), F.col("component").alias("by_id"))
     out = sketched.select("doc_id", "n", "digest").join(verdict, "digest", "left").join(by_id, "doc_id", "left")
@@ -297,7 +317,10 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, id_col: str = "doc_id",
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), root.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, per_cent: int = 75) -> DataFrame:
-    """docs without the documents that give way to a near-duplicate of a smaller id."""
-    gone = near_duplicates(docs, per_cent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, per_cent: int = 75, into: Scratch | None = None) -> DataFrame:
+    """docs, with its own columns, without the documents that give way to a near-duplicate of a smaller id.
+
+    Documents without words or without an id stay; rows that repeat an id stay or go together. Other columns may have any names.
+    """
+    gone = near_duplicates(docs, per_cent, into=into).filter("not kept").select(F.col("doc_id").alias("gone id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["gone id"], "left_anti")

@@ -79,6 +79,28 @@ def test_estimates_are_close():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.07
 
 
+def test_small_sets_are_sketched_without_bias():
+    """Pairs at a similarity of exactly 0.75: whatever the size, they share a band and their estimate is not far off."""
+    rng = np.random.default_rng(1)
+    for a, b, both in ((4, 3, 3), (7, 7, 6), (8, 6, 6), (11, 10, 9), (14, 14, 12), (28, 28, 24), (140, 140, 120), (700, 700, 600)):
+        estimates = []
+        for _ in range(400):
+            h = rng.integers(0, 2**64, size=a + b - both, dtype=np.uint64)
+            x, y = (minhash.sketch(np.sort(s)) for s in (h[:a], np.concatenate([h[:both], h[a:]])))
+            estimates.append(minhash.estimate(x[None], y[None])[0])
+            assert (x == y).reshape(-1, minhash.BAND).all(axis=1).any()
+        assert abs(np.mean(estimates) - 0.75) < 0.01 and min(estimates) > 0.75 - minhash.SLACK
+
+
+def test_no_small_link_is_lost(frame):
+    rows = []
+    for i in range(3000):  # the first seven of eight words: 3 and 4 shingles, similarity exactly 0.75
+        words = [f"{i}w{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:7]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows)).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(3000))
+
+
 def test_odd_rows(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and minhash.near_duplicates(none).count() == 0

@@ -1,19 +1,33 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from spotlake.llm import exact_dedup, language_id, minhash, mixing
-from spotlake.llm.common import connected_components
+from spotlake.llm.common import Scratch, connected_components, grown, join_groups
 from spotlake.llm.queries import oracle_sql, queries
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 103), (103, 202), (None, 3)] + [(500, 501 + i) for i in range(50)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 103, 200: 103, 202: 103} | {500 + i: 500 for i in range(51)}
-    assert got == want
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    into = Scratch(spark)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 103), (103, 202), (None, 3)] + [(500, 501 + i) for i in range(50)] + [(2000 + i, 3000) for i in range(300)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    found = connected_components(frame(edges), into)
+    want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 103, 200: 103, 202: 103} | {500 + i: 500 for i in range(51)} | {2000 + i: 2000 for i in range(300)} | {3000: 2000}
+    assert {r.node: r.component for r in found.collect()} == want
+    assert connected_components(frame([]), into).count() == 0
+    more = [(101, 40), (900, 901), (3, 5), (202, 2299), (901, 50)]
+    joined = {r.node: r.component for r in grown(found, frame(more), into).collect()}
+    assert joined == {r.node: r.component for r in connected_components(frame(edges + more), into).collect()} and joined[900] == 50
+    into.free()
+
+
+def test_hot_groups_meet_by_broadcast(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 700), (2, 3), (3, 500)) for i in range(n)], "k long, i long")
+    groups = spark.createDataFrame([(1, 700, "x"), (2, 3, "y"), (4, 900, "z")], "k long, n long, v string")
+    got = join_groups(rows, groups, "k", "n", 1203)
+    assert sorted(map(tuple, got.collect())) == sorted([(1, i, "x") for i in range(700)] + [(2, i, "y") for i in range(3)])
 
 
 def test_pipeline(spark, frame, tmp_path):
@@ -42,6 +56,27 @@ def test_mixed_order_reaches_the_result(spark, frame, tmp_path):
     assert sorted(r.position for r in got) == list(range(len(want))) and len(want) > 45
 
 
+def test_odd_documents(spark, odd, none, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    for name, docs in (("odd", odd.selectExpr("*", "1 as `a.b`", "2 as at")), ("none", none)):
+        (tmp_path / name).mkdir()
+        docs.coalesce(3).write.parquet(str(tmp_path / name / "documents.parquet"))
+        table = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns[: len(docs.columns)] == docs.columns and out.count() <= docs.count()
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() <= docs.count()
+
+
+def test_tables_of_a_stage_go(spark, frame, tmp_path):
+    docs = frame([(i, f"one two three four five six {i % 20} {'x' * (i // 20)}", "en", "s") for i in range(60)])
+    near = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    folder = corpus_pipeline._held[-1].folder.removeprefix("file://")
+    assert near.count() == 20 and len(list(Path(folder).iterdir())) == 1  # of all tables only the one that the result reads
+    corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).count()
+    assert not Path(folder).exists()
+
+
 def test_registered():
     assert sorted(k.split("_")[0] for k in queries()) == sorted(f"op{i}" for i in range(1, 11))
     assert set(oracle_sql()) <= set(queries())
