@@ -11,6 +11,7 @@ words are never gathered but joined.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import bounded_batches, stored
+from spotlake.llm.common import Scratch, bounded_batches, scratch
 
 #: Words whose counts are broadcast (the bound of the broadcast), and those of them that are symbols.
 HEAD, SYMBOLS = 65_536, 1022
 HIDDEN, CLASSES, WINDOW = 16, 31, 32
+#: Lanes that are trained on side by side: one for so many tokens, within these bounds. The rate of Adam's steps.
+LANE_TOKENS, FEWEST, MOST, RATE = 8192, 16, 256, 0.006
 OTHER, END = 0, 1  # symbols; the end is the empty word in counts
 FIRST_TEXTS = 256
 #: Texts and tokens that the averaged pass holds before it trains on them.
-HELD_TEXTS, HELD_TOKENS = 2048, 2_000_000
+HELD_TEXTS, HELD_TOKENS = 16_384, 4_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,7 +46,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-x))
+
+
+def _exponentials(h: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits h @ w + bias and their exponentials; states lie within -1 and 1, so rows are shifted by their maxima only where weights are so large that it matters."""
+    logits = h @ w + bias
+    if np.abs(w).sum(axis=0).max() + np.abs(bias).max() > 40:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits, np.exp(logits)
 
 
 class Gru:
@@ -78,10 +89,8 @@ class Gru:
     def log_probability(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural logs of target after states h; with grads, also the gradient of their negated sum by h (returned second)."""
         c = self.class_of[target]
-        logits = h @ self.w["c"] + self.w["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        logits, e = _exponentials(h, self.w["c"], self.w["cb"])
+        total = e @ np.ones(e.shape[1], e.dtype)
         at = np.arange(len(target))
         out = logits[at, c] - np.log(total)
         if grads is not None:
@@ -90,27 +99,30 @@ class Gru:
             grads["c"] += h.T @ p
             grads["cb"] += p.sum(axis=0)
             dh = p @ self.w["c"].T
-        order = np.argsort(c, kind="stable")
+        # within classes of several symbols: rows in order of their class
+        many = np.flatnonzero(np.diff(self.first)[c] > 1)
+        order = many[np.argsort(c[many], kind="stable")]
         edges = np.searchsorted(c[order], np.arange(len(self.first)))
-        for k in range(len(self.first) - 1):
-            lo, hi = self.first[k], self.first[k + 1]
-            if hi - lo < 2 or edges[k] == edges[k + 1]:
-                continue
-            rows = order[edges[k] : edges[k + 1]]
-            hk, t = h[rows], target[rows] - lo
-            logits = hk @ self.w["o"][lo:hi].T + self.w["ob"][lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            i = np.arange(len(rows))
-            out[rows] += logits[i, t] - np.log(total)
+        inside, hs, ts = np.empty(len(order), out.dtype), h[order], target[order]
+        below = np.empty_like(hs) if grads is not None else None
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi, some = self.first[k], self.first[k + 1], slice(edges[k], edges[k + 1])
+            hk, t = hs[some], ts[some] - lo
+            logits, e = _exponentials(hk, self.w["o"][lo:hi].T, self.w["ob"][lo:hi])
+            total = e @ np.ones(hi - lo, e.dtype)
+            i = at[: len(t)]
+            inside[some] = logits[i, t] - np.log(total)
             if grads is not None:
-                p = e / total[:, None]
-                p[i, t] -= 1
-                grads["o"][lo:hi] += p.T @ hk
-                grads["ob"][lo:hi] += p.sum(axis=0)
-                dh[rows] += p @ self.w["o"][lo:hi]
-        return (out, dh) if grads is not None else out
+                e /= total[:, None]
+                e[i, t] -= 1
+                grads["o"][lo:hi] += e.T @ hk
+                grads["ob"][lo:hi] += e.sum(axis=0)
+                below[some] = e @ self.w["o"][lo:hi]
+        out[order] += inside
+        if grads is None:
+            return out
+        dh[order] += below
+        return out, dh
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sum of natural logs over each text (arrays of symbols, END last), the state carried from beginning to end."""
@@ -143,72 +155,87 @@ class Gru:
         total[order] = sums
         return total
 
-    def train(self, pieces: list[np.ndarray], epochs: int = 1, lanes: int = 64, rate: float = 0.01) -> None:
-        """Truncated backpropagation over all windows of the pieces, `lanes` pieces side by side, the state carried; Adam steps."""
-        pieces = sorted((p for p in pieces if len(p)), key=len)
+    def train(self, texts: list[np.ndarray], epochs: int = 1, lanes: int | None = None, rate: float = RATE) -> None:
+        """Truncated backpropagation over all windows of the texts (symbols, END last); Adam steps.
+
+        Texts are laid one after the other into lanes of about equal length, which run side by side; the state is carried through a text and is zero at its beginning.
+        """
+        texts = sorted((p for p in texts if len(p)), key=len, reverse=True)
+        lanes = lanes or min(MOST, max(FEWEST, sum(map(len, texts)) // LANE_TOKENS))
+        free, of_lane = [(0, i) for i in range(min(lanes, len(texts)))], [[] for _ in range(min(lanes, len(texts)))]
+        for text in texts:  # the longest first, each into the shortest lane
+            size, i = heapq.heappop(free)
+            of_lane[i].append(text)
+            heapq.heappush(free, (size + len(text), i))
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        batches = [pieces[i : i + lanes] for i in range(0, len(pieces), lanes)]
         n = 0
         for epoch in range(epochs):
-            for b in np.random.default_rng(epoch).permutation(len(batches)):
-                batch = batches[b]
-                h = np.zeros((len(batch), HIDDEN), dtype=np.float32)
-                last = np.full(len(batch), END)
-                for t0 in range(0, len(batch[-1]), WINDOW):
-                    n += 1
-                    over = sum(len(p) <= t0 for p in batch)  # the shortest come first
-                    batch, h, last = batch[over:], h[over:], last[over:]
-                    grid = np.full((len(batch), min(WINDOW, len(batch[-1]) - t0)), -1)
-                    for i, p in enumerate(batch):
-                        grid[i, : len(p) - t0] = p[t0 : t0 + WINDOW]
-                    grads, h, last = self._window(grid, h, last)
-                    for k, g in grads.items():
-                        m[k] += np.float32(0.1) * (g - m[k])
-                        s[k] += np.float32(0.01) * (g * g - s[k])
-                        self.w[k] -= np.float32(rate / (1 - 0.9**n)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**n)) + np.float32(1e-4))
-
-    def _window(self, grid: np.ndarray, h: np.ndarray, last: np.ndarray):
-        """Gradients of the mean loss in one window; the state and the symbols at its end. -1 in grid: the piece is over."""
+            rng = np.random.default_rng(epoch)
+            streams = sorted(([lane[i] for i in rng.permutation(len(lane))] for lane in of_lane), key=lambda lane: -sum(map(len, lane)))
+            size = np.array([sum(map(len, lane)) for lane in streams])
+            flat, begin = np.concatenate([t for lane in streams for t in lane]).astype(np.int64) if texts else np.zeros(0, np.int64), np.cumsum(size) - size
+            fresh = np.append(True, flat[:-1] == END)
+            h, last = np.zeros((len(size), HIDDEN), dtype=np.float32), np.full(len(size), END)
+            for t0 in range(0, int(size[0]) if texts else 0, WINDOW):
+                n += 1
+                live = np.searchsorted(-size, -np.arange(t0, min(t0 + WINDOW, int(size[0]))), side="left")  # the longest lanes come first
+                at = np.minimum(begin[: live[0]] + t0 + np.arange(len(live))[:, None], len(flat) - 1)
+                grads, h = self._window(flat[at], fresh[at], live, h[: live[0]], last[: live[0]])
+                last = flat[at[-1]]
+                for k, g in grads.items():
+                    m[k] += np.float32(0.1) * (g - m[k])
+                    s[k] += np.float32(0.01) * (g * g - s[k])
+                    self.w[k] -= np.float32(rate / (1 - 0.9**n)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.99**n)) + np.float32(1e-4))
+
+    def _window(self, grid: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray, last: np.ndarray):
+        """Gradients of the mean loss in one window, and the state at its end.
+
+        grid[t]: symbols of the lanes, of which the first live[t] have not ended before t; fresh: where a text begins.
+        """
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        trail, hs, ts, rows = [], [], [], []
-        for t in range(grid.shape[1]):
-            fed = last
-            before = h
-            h, gates = self.step(fed, h)
-            trail.append((fed, before, gates))
-            live = np.flatnonzero(grid[:, t] >= 0)
-            hs.append(h[live])
-            ts.append(grid[live, t])
-            rows.append(live)
-            last = np.where(grid[:, t] >= 0, grid[:, t], last)
-        target = np.concatenate(ts)
-        if not len(target):
-            return grads, h, last
-        _, dout = self.log_probability(np.concatenate(hs), target, grads)
-        at = len(target)
-        dh = np.zeros_like(h)
-        fed_all, dx_all = [], []
-        for t in range(len(trail) - 1, -1, -1):
-            fed, before, (z, g, n, rn) = trail[t]
-            at -= len(rows[t])
-            dh[rows[t]] += dout[at : at + len(rows[t])]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dg = dn * rn * g * (1 - g)
-            dx = np.hstack([dz, dg, dn])
-            dr = np.hstack([dz, dg, dn * g])
-            grads["h"] += before.T @ dr
-            fed_all.append(fed)
-            dx_all.append(dx)
-            dh = dh * z + dr @ self.w["h"].T
-        fed, dx = np.concatenate(fed_all), np.concatenate(dx_all)
+        steps, lanes = grid.shape
+        there = np.arange(lanes) < live[:, None]
+        some = (lambda a: a.reshape(steps * lanes, *a.shape[2:])) if there.all() else (lambda a: a[there])
+        fed = np.vstack([last, grid[:-1]])
+        x = self.w["x"][fed]
+        kind = x.dtype
+        keep = (~fresh).astype(kind)[:, :, None]
+        before, after = np.zeros((steps, lanes, HIDDEN), kind), np.zeros((steps, lanes, HIDDEN), kind)
+        zg, n, rn = np.zeros((steps, lanes, 2 * HIDDEN), kind), np.zeros((steps, lanes, HIDDEN), kind), np.zeros((steps, lanes, HIDDEN), kind)
+        for t, k in enumerate(live.tolist()):
+            h = np.multiply(h[:k], keep[t, :k], out=before[t, :k])
+            r = h @ self.w["h"]
+            gates = _sigmoid(x[t, :k, : 2 * HIDDEN] + r[:, : 2 * HIDDEN])
+            zg[t, :k], rn[t, :k] = gates, r[:, 2 * HIDDEN :]
+            new = np.tanh(x[t, :k, 2 * HIDDEN :] + gates[:, HIDDEN:] * rn[t, :k])
+            n[t, :k] = new
+            h = np.add(gates[:, :HIDDEN] * (h - new), new, out=after[t, :k])
+        target = some(grid)
+        dout = np.zeros_like(n)
+        dout[there] = self.log_probability(some(after), target, grads)[1]
+
+        z, g = zg[:, :, :HIDDEN], zg[:, :, HIDDEN:]
+        by = np.concatenate([(before - n) * z * (1 - z), rn * g * (1 - g), (1 - z) * (1 - n * n)], axis=2)  # of z; of g and n, both through n
+        by[:, :, HIDDEN : 2 * HIDDEN] *= by[:, :, 2 * HIDDEN :]
+        dx, back = np.zeros_like(by), np.ascontiguousarray(self.w["h"].T)
+        dr = np.zeros_like(by)
+        dh = np.zeros((lanes, HIDDEN), kind)
+        for t in range(steps - 1, -1, -1):
+            k = live[t]
+            d = dh[:k] + dout[t, :k]
+            np.multiply(by[t, :k].reshape(k, 3, HIDDEN), d[:, None], out=dx[t, :k].reshape(k, 3, HIDDEN))
+            dr[t, :k] = dx[t, :k]
+            dr[t, :k, 2 * HIDDEN :] *= g[t, :k]
+            np.multiply(d * z[t, :k] + dr[t, :k] @ back, keep[t, :k], out=dh[:k])
+        grads["h"] += some(before).T @ some(dr)
+        dx, fed = some(dx), some(fed)
         order = np.argsort(fed, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(fed[order]) != 0))
         grads["x"][fed[order][starts]] = np.add.reduceat(dx[order], starts, axis=0)
         for k in grads:
             grads[k] /= len(target)
-        return grads, h, last
+        return grads, after[-1]
 
 
 class Head:
@@ -249,22 +276,39 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _commonest(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    """The commonest words (word, c), `most` at most: all above the least count at which so many are not exceeded. Counts are told apart to 1/64 of a power of two."""
+    step = F.floor(F.log2("c") * 64)
+    shares = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"])  # 64 rows for each power of two at most
+    held, least = 0, None
+    for r in shares:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["step"]
+    if least is None:
+        return [], []
+    top = counts.filter(step >= least).orderBy(F.desc("c"), "word").toArrow()
+    return top.column("word").to_pylist(), top.column("c").to_pylist()
+
+
 def _averaged(docs: DataFrame, head: Head, model: Gru, groups: int = 16) -> Gru:
-    """The mean, weighted by tokens, of what each partition makes of model on all tokens of all its texts."""
+    """The mean, weighted by tokens, of what each partition makes of model on all tokens of all its texts (doc_id, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tokens, held, waiting = pickle.loads(pickle.dumps(model)), 0, [], 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                held.append(head.encode(head.places(words_of(text))).astype(np.int64))
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                held.append(head.encode(head.places(words_of(text))))
                 tokens += len(held[-1])
                 waiting += len(held[-1])
                 if len(held) >= HELD_TEXTS or waiting >= HELD_TOKENS:
-                    own.train(held, rate=0.003)
+                    own.train(held)
                     held, waiting = [], 0
-        own.train(held, rate=0.003)
+        own.train(held)
         if tokens:
-            yield pd.DataFrame({"tokens": [tokens], "w": [pickle.dumps(own.w)], "part": [int(np.uint32(tokens * 2654435761 & 0xFFFFFFFF)) % groups]})
+            part = int(np.uint32(tokens * 2654435761 & 0xFFFFFFFF)) % groups
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([pickle.dumps(own.w)], pa.binary()), pa.array([part], pa.int32())], names=["tokens", "w", "part"])
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         total, share = None, pdf["tokens"].to_numpy() / pdf["tokens"].sum()
@@ -274,29 +318,36 @@ def _averaged(docs: DataFrame, head: Head, model: Gru, groups: int = 16) -> Gru:
         return pd.DataFrame({"tokens": [pdf["tokens"].sum()], "w": [pickle.dumps(total)], "part": [0]})
 
     schema = "tokens long, w binary, part int"
-    parts = docs.select("text").mapInPandas(run, schema).groupBy("part").applyInPandas(mean, schema).toPandas()
+    parts = docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("part").applyInPandas(mean, schema).toPandas()
     if len(parts):
         model.w = pickle.loads(mean(parts)["w"].iloc[0])
     return model
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     score is the model's log10 probability of the whole text and its end; base_score that of add-one smoothed
     counts. A null text counts as empty: its one token is the end. A null id is not held out. Without training
     texts every token is unknown and the model is an untrained one. Repeated rows are each scored (and learned
-    from). An empty table gives no rows. Other columns are not looked at.
+    from). An empty table gives no rows. Other columns are not looked at. Every partition trains on all of its training
+    texts and weights are averaged, so score (not the other columns) depends on how the table is split. The result is a
+    table in `into`.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    into = into or Scratch(spark)
+    with scratch(spark) as own:
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+        return into.stored(_scores(rows, own))
+
+
+def _scores(rows: DataFrame, own: Scratch) -> DataFrame:
+    spark = rows.sparkSession
     training = rows.filter(~held_out(F.col("doc_id")))
-    counts = stored(token_counts(training))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head = Head(top.column("word").to_pylist(), top.column("c").to_pylist(), ends)
+    counts = own.stored(token_counts(training))
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
+    head = Head(*_commonest(counts.filter(F.length("word") > 0), HEAD), ends)
     symbol_counts = head.counts[: head.symbols - 2]
     other = n - ends - int(symbol_counts.sum())  # tokens and types beyond the symbols
     other_types = v - (ends > 0) - len(symbol_counts)
@@ -304,8 +355,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     model = Gru(head.symbols)
     model.start_from(np.concatenate([[other, ends], symbol_counts]).astype(np.float64))
-    first = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_TEXTS).select("text").toArrow().column(0).to_pylist()
-    model.train([head.encode(head.places(words_of(t))).astype(np.int64) for t in first], epochs=3, lanes=16)
+    # there is an end for each training text; a few times FIRST_TEXTS are looked at for those with the least hashes
+    place, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), min(1.0, 3 * FIRST_TEXTS / max(ends, 1))
+    first = training.filter(place < int(share * (1 << 30))).orderBy(place, "doc_id").limit(FIRST_TEXTS).select("text").toArrow().column(0).to_pylist()
+    model.train([head.encode(head.places(words_of(t))) for t in first], epochs=3, lanes=16, rate=0.01)
     model = _averaged(training, head, model)
     shared = spark.sparkContext.broadcast((head, model))
 
@@ -346,7 +399,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if held:
             yield told()
 
-    passed = stored(
+    passed = own.stored(
         rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, logs double, score double, words array<binary>, times array<long>").withColumn("row", F.monotonically_increasing_id())
     )
     rare = passed.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
