@@ -97,8 +97,7 @@ def attached(df: DataFrame, value: str, dim: str, path: str = "path") -> DataFra
 def list_files(spark, template: str) -> DataFrame:
     """path and the typed columns of all files that fit. None: FileNotFoundError. Two with the same indices: ValueError."""
     try:
-        found = spark.read.format("binaryFile").load(glob_of(template)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
-        rows = extract(found, _anywhere(template))
+        rows = with_content(spark, template).drop("content")
         if rows.isEmpty():
             raise FileNotFoundError(f"no file fits {template}")
     except Exception as e:
@@ -111,5 +110,11 @@ def list_files(spark, template: str) -> DataFrame:
     return rows
 
 
+def with_content(spark, template: str) -> DataFrame:
+    """path, content and the typed columns of all files that fit; content is read only where it is used."""
+    found = spark.read.format("binaryFile").load(glob_of(template)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    return extract(found, _anywhere(template))
+
+
 def _anywhere(template: str) -> str:
     return template if template.startswith(("/", "*")) else f"**{template}"

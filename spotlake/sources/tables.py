@@ -28,19 +28,17 @@ def long_spectra(df: DataFrame, name: str = "name") -> DataFrame:
     return df.select(F.col(name), *[F.col(f"`{c}`").cast("double").alias(c) for c in rest]).unpivot(name, rest, "channel", "v").withColumnRenamed(name, "ln")
 
 
-def _small(path: str) -> pd.DataFrame:
-    wide = current().read.csv(path, header=True, inferSchema=True).toPandas()
-    return wide.set_index("name")
-
-
 def read_spectra(path: str) -> pd.DataFrame:
-    """Rows lanthanides, columns channels."""
-    return _small(path)
+    """Rows lanthanides, columns channels, in the order of the file; spectra and codes are parameters, so small."""
+    wide = current().read.csv(path, header=True, inferSchema=True)
+    long = long_spectra(wide).toPandas()
+    order = [r[0] for r in wide.select("name").collect()]
+    return long.pivot(index="ln", columns="channel", values="v").reindex(index=order, columns=[c for c in wide.columns if c != "name"]).rename_axis(index="name", columns=None)
 
 
 def read_codes(path: str) -> pd.DataFrame:
-    """Rows codes, columns lanthanides."""
-    return _small(path)
+    """Rows codes, columns lanthanides: a table of the same form."""
+    return read_spectra(path)
 
 
 def save(file: str, assay: Assay) -> None:
