@@ -12,11 +12,6 @@ def natural_key(text: Column, width: int = 20) -> Column:
     return F.array_join(padded, "")
 
 
-def to_uint8(v: Column, low: Column, high: Column) -> Column:
-    """v shifted and scaled so that low..high becomes 0..255, cut to whole numbers; 0 where low = high."""
-    return F.coalesce(F.floor(F.try_divide(F.lit(255.0) * (v - low), high - low)), F.lit(0)).cast("int")
-
-
 def window_start(centre: Column, side: int, limit: Column | int) -> Column:
     """First pixel of a window of `side` pixels around centre, slid (not cut) to lie in 0..limit."""
     limit = F.lit(limit) if isinstance(limit, int) else limit

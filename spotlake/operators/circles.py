@@ -52,28 +52,44 @@ def canny(dy: np.ndarray, dx: np.ndarray, low: float, high: float) -> np.ndarray
     )
     weak = peak & (size > low)
     strong = weak & (size > high)
-    todo = list(zip(*np.nonzero(strong)))
-    kept = strong.copy()
-    while todo:
-        y, x = todo.pop()
-        for ny in range(max(y - 1, 0), min(y + 2, h)):
-            for nx in range(max(x - 1, 0), min(x + 2, w)):
-                if weak[ny, nx] and not kept[ny, nx]:
-                    kept[ny, nx] = True
-                    todo.append((ny, nx))
+    kept, front = strong, strong
+    while front.any():  # neighbours of what was reached last, all at once
+        p = np.pad(front, 1)
+        wide = p[:-2] | p[1:-1] | p[2:]
+        front = (wide[:, :-2] | wide[:, 1:-1] | wide[:, 2:]) & weak & ~kept
+        kept = kept | front
     return kept
 
 
+def thresholds(dy: np.ndarray, dx: np.ndarray, low_quantile: float, high_quantile: float) -> np.ndarray:
+    """Quantiles, interpolated, of the gradient's length."""
+    return np.quantile(np.hypot(dy, dx), [low_quantile, high_quantile])
+
+
+def by_cell(edges: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of the edge pixels, cell after cell of the grid; where each cell with any begins, and how many it has."""
+    y, x = np.nonzero(edges)
+    key = (y // cell) * (edges.shape[1] // cell + 1) + x // cell
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(y) else np.zeros(0, dtype=np.int64)
+    return y[order], x[order], starts, np.diff(np.append(starts, len(y)))
+
+
+def within(circles: np.ndarray, low: float, high: float, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Circles of a radius in low..high before rounding (half to even), at least partly in the image, as whole numbers; and their indices."""
+    at = np.flatnonzero((circles[:, 2] >= low) & (circles[:, 2] <= high))
+    c = np.rint(circles[at]).astype(np.int64)
+    y, x, r = c.T
+    inside = (y + r >= 0) & (y - r < shape[0]) & (x + r >= 0) & (x - r < shape[1])
+    return c[inside], at[inside]
+
+
 def candidates(edges: np.ndarray, n: int, cell: int, rng: np.random.Generator) -> np.ndarray:
     """n circles (row, col, radius) through an edge pixel and two more from its cell of the grid."""
-    y, x = np.nonzero(edges)
+    y, x, starts, counts = by_cell(edges, cell)
     if not len(y):
         return np.zeros((0, 3))
-    key = (y // cell) * (edges.shape[1] // cell + 1) + x // cell
-    order = np.argsort(key, kind="stable")
-    y, x, key = y[order].astype(np.float64), x[order].astype(np.float64), key[order]
-    starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
-    counts = np.diff(np.append(starts, len(key)))
+    y, x = y.astype(np.float64), x.astype(np.float64)
     cell_of = np.repeat(np.arange(len(starts)), counts)
     a = rng.integers(0, len(y), n)
     b, c = (starts[cell_of[a]] + (rng.random(n) * counts[cell_of[a]]).astype(np.int64) for _ in range(2))
@@ -130,16 +146,12 @@ def find_circles(
     if image.size == 0 or image.min() == image.max():
         return nothing
     dy, dx = gradients(smooth(image))
-    low, high = np.quantile(np.hypot(dy, dx), [low_quantile, high_quantile])
-    edges = canny(np.rint(dy), np.rint(dx), low, high)
+    edges = canny(np.rint(dy), np.rint(dx), *thresholds(dy, dx, low_quantile, high_quantile))
     rng = np.random.default_rng(seed)
     found = np.zeros((0, 3), dtype=np.int64)
     for lo in range(0, n_iter, CHUNK):
         c = candidates(edges, min(CHUNK, n_iter - lo), grid, rng)
-        c = np.rint(c[(c[:, 2] >= min_radius) & (c[:, 2] <= max_radius)]).astype(np.int64)
-        y, x, r = c.T
-        c = c[(y + r >= 0) & (y - r < image.shape[0]) & (x + r >= 0) & (x - r < image.shape[1])]
-        found = np.unique(np.concatenate([found, c]), axis=0)
+        found = np.unique(np.concatenate([found, within(c, min_radius, max_radius, image.shape)[0]]), axis=0)
     if not len(found):
         return nothing
     s = scores(found, edges, np.arctan2(dy, dx))

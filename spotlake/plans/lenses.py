@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotlake.model import Assay, plane, table
+from spotlake.operators.stitch import stitched
+
 #: A made-up set of three spectra over eight channels, and codes over two ratios.
 CHANNELS = [f"c{i}" for i in range(8)]
 LANTHANIDES = ["eu", "dy", "sm"]
@@ -37,6 +43,55 @@ def img(spark: SparkSession, d: str) -> DataFrame:
 IMG = PIX + ", img AS (SELECT channel, tile_row * 32 + y AS y, tile_col * 32 + x AS x, v FROM pix)"
 
 
+#: All pixels of img: those that no row has are 0.
+IMG0 = IMG + """, img0 AS (SELECT c.channel, a.y::INT AS y, b.x::INT AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT channel FROM img) c CROSS JOIN range(64) a(y) CROSS JOIN range(64) b(x)
+  LEFT JOIN img i ON i.channel = c.channel AND i.y = a.y AND i.x = b.x)"""
+COLOURS = ("A", "N", "R")
+
+
+def tiles(spark: SparkSession, d: str, assay: Column | None = None) -> DataFrame:
+    """pix as the table `tiles` of an assay (of one called `a` by default); pixels that no row has are 0."""
+    known = pix(spark, d).groupBy("channel", "tile_row", "tile_col").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * 32 + F.col("x")).alias("i"), "v"))).alias("known"))
+    px = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("known", i), F.lit(0.0)))
+    size = F.lit(32)
+    return known.select(
+        (F.lit("a") if assay is None else assay).alias("assay"), "channel", F.lit(0).alias("time_idx"), "tile_row", "tile_col", size.alias("height"), size.alias("width"), F.lit("int64").alias("dtype"), px.alias("px")
+    )
+
+
+def image(spark: SparkSession, d: str) -> DataFrame:
+    """img as the table `image`, a block for each tile."""
+    return stitched(tiles(spark, d), 0)
+
+
+def assay(spark: SparkSession, d: str, **tables: DataFrame) -> Assay:
+    """tiles and image, or the tables given, with the dimensions that they have."""
+    dims = table("dims", [("a", "channel", i, c, {}) for i, c in enumerate(COLOURS)] + [("a", "time", 0, "0", {})])
+    return Assay((tables or {"tiles": tiles(spark, d), "image": image(spark, d)}) | {"dims": dims}, {"name": "a"})
+
+
+def pixels(blocks: DataFrame, *columns: str) -> DataFrame:
+    """Blocks or tiles as rows of columns, y, x, v."""
+    each = blocks.select("*", F.posexplode("px").alias("i", "v"))
+    y, x = F.floor(F.col("i") / F.col("width")).cast("int"), (F.col("i") % F.col("width")).cast("int")
+    y0, x0 = (F.col("y0"), F.col("x0")) if "y0" in blocks.columns else (F.lit(0), F.lit(0))
+    return each.select(*columns, (y + y0).alias("y"), (x + x0).alias("x"), "v")
+
+
+def on_planes(image: DataFrame, schema: str, work: Callable[[np.ndarray], Mapping[str, np.ndarray]]) -> DataFrame:
+    """channel and the columns of schema: what work makes of each plane of the image."""
+
+    def run(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"channel": key[0], **work(plane(blocks))})
+
+    return image.groupBy("channel").applyInPandas(run, f"channel string, {schema}")
+
+
+def each_pixel(**planes: np.ndarray) -> dict[str, np.ndarray]:
+    y, x = np.indices(next(iter(planes.values())).shape)
+    return {"y": y.ravel(), "x": x.ravel()} | {k: v.ravel() for k, v in planes.items()}
+
+
 def roi(spark: SparkSession, d: str) -> DataFrame:
     """Region pixels: mark, channel, fg, bg, v, with a signal planted in two thirds of the marks."""
     v = F.col("l_extendedprice") * F.when(F.col("l_returnflag") == "R", 1 + F.col("l_suppkey") % 3).otherwise(1)
@@ -55,6 +110,15 @@ def medians(spark: SparkSession, d: str) -> DataFrame:
     return roi(spark, d).groupBy("assay", "mark", "channel").agg(F.median(F.when(F.col("fg"), F.col("v"))).alias("fg"), F.median(F.when(F.col("bg"), F.col("v"))).alias("bg"))
 
 
+def regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same as the tables `roi` and `masks`: a mark's pixels in one order for all channels, null where they are of another channel."""
+    px = roi(spark, d).groupBy("assay", "mark").agg(F.collect_list(F.struct("channel", "fg", "bg", "v")).alias("p")).withColumn("time_idx", F.lit(0))
+    of_channel = F.transform("p", lambda p: F.when(p["channel"] == F.col("channel"), p["v"]))
+    each = px.withColumn("channel", F.explode(F.array(F.lit("F"), F.lit("O")))).filter(F.exists("p", lambda p: p["channel"] == F.col("channel")))
+    rois = each.select("assay", "mark", "channel", "time_idx", F.lit(0).alias("top"), F.lit(0).alias("left"), F.lit(1).alias("side"), of_channel.alias("px"))
+    return rois, px.select("assay", "mark", "time_idx", F.col("p.fg").alias("fg"), F.col("p.bg").alias("bg"))
+
+
 def chip(spark: SparkSession, d: str) -> DataFrame:
     """Buttons on a grid of ten columns with a little jitter: mark, mark_row, mark_col, y, x, tag (some blank)."""
     k, a = F.col("s_suppkey"), F.abs("s_acctbal")
@@ -90,9 +154,10 @@ RATIOS = "ratios AS (SELECT vec_id::INT AS mark, embedding[2]::DOUBLE AS u, embe
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    """Positions of marks on searched days (every seventh): mark, time_idx, x, y."""
+    """Positions of marks on the days on which they have a click: mark, time_idx, x, y; null for marks on days without any position."""
     day = (F.dayofmonth("ts") - 1).cast("int")
-    return of(spark, d, "events").filter(day % 7 == 0).groupBy(F.col("user_id").cast("int").alias("mark"), day.alias("time_idx")).agg(F.max("value").alias("x"), F.min("value").alias("y"))
+    seen = F.col("event_type") == "click"
+    return of(spark, d, "events").groupBy(F.col("user_id").cast("int").alias("mark"), day.alias("time_idx")).agg(F.max(F.when(seen, F.col("value"))).alias("x"), F.min(F.when(seen, F.col("value"))).alias("y"))
 
 
-SERIES = """series AS (SELECT user_id::INT AS mark, (day(ts) - 1)::INT AS time_idx, max(value) AS x, min(value) AS y FROM events WHERE (day(ts) - 1) % 7 = 0 GROUP BY ALL)"""
+SERIES = """series AS (SELECT user_id::INT AS mark, (day(ts) - 1)::INT AS time_idx, max(value) FILTER (event_type = 'click') AS x, min(value) FILTER (event_type = 'click') AS y FROM events GROUP BY ALL)"""

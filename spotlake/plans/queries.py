@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotlake.functions.columns import natural_key, to_uint8, window_start
-from spotlake.operators import circles, filters, find, geometry, grid, identify, pixels, preprocess, stitch, views
+from spotlake.functions.columns import natural_key, window_start
+from spotlake.model import plane
+from spotlake.operators import circles, filters, find, finish, geometry, grid, identify, preprocess, stitch, views
 from spotlake.plans import lenses
-from spotlake.plans.lenses import CHIP, IMG, PIX, RATIOS, ROI, SERIES, SPEC, of
+from spotlake.plans.lenses import CHIP, IMG, IMG0, PIX, RATIOS, ROI, SERIES, SPEC, of
 from spotlake.presets import CHIPS
 from spotlake.sources import paths, tables, tiff
 
@@ -135,10 +137,13 @@ FLAT = "(1 + (y * 3 + x * 5) % 7 / 7.0)"
 
 
 @query(f"""WITH {PIX}, t AS (SELECT *, greatest(v - 3, 0) AS t, greatest(v - 3, 0) / {FLAT} AS q FROM pix), m AS (SELECT channel, max(t) AS m, max(q) AS n FROM t GROUP BY 1)
-SELECT channel, tile_row, tile_col, y, x, floor(coalesce(q * m / nullif(n, 0), 0) + 1e-9)::DOUBLE AS v FROM t JOIN m USING (channel)""")
+SELECT channel, tile_row, tile_col, y, x, floor(coalesce(q * m / nullif(n, 0), 0))::DOUBLE AS v FROM t JOIN m USING (channel)""")
 def q_flatfield(spark, d):
-    px = lenses.pix(spark, d).withColumn("flat", 1 + (F.col("y") * 3 + F.col("x") * 5) % 7 / 7.0)
-    return pixels.flatfield(px, 3.0, ["channel"])
+    """Each channel is an assay of its own, as maxima are those of an assay."""
+    y, x = np.indices((32, 32))
+    out = preprocess.flatfield_correct(lenses.assay(spark, d, tiles=lenses.tiles(spark, d, F.col("channel"))), 1 + (y * 3 + x * 5) % 7 / 7.0, 3.0)
+    keys = ["channel", "tile_row", "tile_col"]
+    return lenses.pixels(out["tiles"], *keys).join(lenses.pix(spark, d), [*keys, "y", "x"], "left_semi")
 
 
 @query(f"""WITH {PIX}, f(channel, f) AS (VALUES ('A', 2.0), ('default', 0.5)) SELECT p.channel, y, x, v, coalesce(o.f, e.f)::DOUBLE AS f FROM pix p LEFT JOIN f o ON o.channel = p.channel AND o.channel <> 'default'
@@ -150,12 +155,12 @@ def q_field_align(spark, d):
 
 @query(f"WITH {IMG} SELECT channel, y, 63 - x AS x, v FROM img")
 def q_hflip(spark, d):
-    return lenses.img(spark, d).withColumn("x", pixels.mirrored("x", 64))
+    return lenses.pixels(preprocess.horizontal_flip(lenses.assay(spark, d))["image"], "channel").filter("v > 0")
 
 
 @query(f"WITH {IMG} SELECT channel, 63 - y AS y, x, v FROM img")
 def q_vflip(spark, d):
-    return lenses.img(spark, d).withColumn("y", pixels.mirrored("y", 64))
+    return lenses.pixels(preprocess.vertical_flip(lenses.assay(spark, d))["image"], "channel").filter("v > 0")
 
 
 def _spans(r):
@@ -165,52 +170,70 @@ def _spans(r):
 
 @query(f"""WITH {IMG}, s(dy, a, b) AS (VALUES {_spans(20)}) SELECT channel, y, x, CASE WHEN s.dy IS NOT NULL THEN v ELSE 0 END AS v FROM img LEFT JOIN s ON y = 30 + dy AND x BETWEEN 33 + a AND 33 + b""")
 def q_circle_mask(spark, d):
-    inside = pixels.in_disk(F.col("y"), F.col("x"), (30, 33), 20)
-    return lenses.img(spark, d).withColumn("v", F.when(inside, F.col("v")).otherwise(0.0))
+    masked = preprocess.circle_mask(lenses.assay(spark, d), 40, (30, 33))["image"]
+    return lenses.pixels(masked, "channel").join(lenses.img(spark, d), ["channel", "y", "x"], "left_semi")
 
 
-@query(f"""WITH {IMG}, m AS (SELECT channel, min(v) AS lo, max(v) AS hi FROM img GROUP BY 1)
-SELECT channel, y, x, coalesce(floor(255 * (v - lo) / nullif(hi - lo, 0)), 0)::INT AS u FROM img JOIN m USING (channel)""")
+@query(f"""WITH {IMG0}, m AS (SELECT channel, min(v) AS lo, max(v) AS hi FROM img0 GROUP BY 1)
+SELECT channel, y, x, coalesce(floor(255 * (v - lo) / nullif(hi - lo, 0)), 0)::INT AS u FROM img0 JOIN m USING (channel)""")
 def q_to_uint8(spark, d):
-    px = lenses.img(spark, d)
-    ends = px.groupBy("channel").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return px.join(F.broadcast(ends), "channel").select("channel", "y", "x", to_uint8(F.col("v"), F.col("lo"), F.col("hi")).alias("u"))
+    return lenses.on_planes(lenses.image(spark, d), "y int, x int, u int", lambda a: lenses.each_pixel(u=circles.to_uint8(a)))
 
 
 @query(f"WITH {PIX} SELECT channel, tile_row * 27 + y - 2 AS im_y, tile_col * 27 + x - 2 AS im_x, v FROM pix WHERE y BETWEEN 2 AND 28 AND x BETWEEN 2 AND 28")
 def q_stitch(spark, d):
-    px = lenses.pix(spark, d).select("channel", stitch.place(F.col("y"), F.col("tile_row"), 32, 5).alias("im_y"), stitch.place(F.col("x"), F.col("tile_col"), 32, 5).alias("im_x"), "v")
-    return px.filter("im_y is not null and im_x is not null")
+    image = stitch.stitch(lenses.assay(spark, d, tiles=lenses.tiles(spark, d)), overlap=5)["image"]
+    return lenses.pixels(image, "channel").filter("v > 0").withColumnsRenamed({"y": "im_y", "x": "im_x"})
 
 
 # ---- circles ----
 
-GAUSS_SQL = "(VALUES " + ", ".join(f"({a}, {b}, {w})" for (a, b), w in pixels.GAUSS.items()) + ")"
-SCHARR_SQL = "(VALUES " + ", ".join(f"({a}, {b}, {pixels.SCHARR_Y.get((a, b), 0.0)}, {pixels.SCHARR_X.get((a, b), 0.0)})" for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b) + ")"
-GRAD = f"""g AS (SELECT channel, y - dy AS y, x - dx AS x, sum(v * wy) AS gy, sum(v * wx) AS gx FROM img, {SCHARR_SQL} w(dy, dx, wy, wx)
-  WHERE y - dy BETWEEN 0 AND 63 AND x - dx BETWEEN 0 AND 63 GROUP BY 1, 2, 3)"""
+#: Weights of the Gaussian and of the Scharr derivatives, for the SQL.
+GAUSS_SQL = "(VALUES " + ", ".join(f"({dy}, {dx}, {a * b / 256})" for dy, a in zip(range(-2, 3), (1, 4, 6, 4, 1)) for dx, b in zip(range(-2, 3), (1, 4, 6, 4, 1))) + ")"
+SCHARR_SQL = "(VALUES " + ", ".join(f"({dy}, {dx}, {dy * a}, {dx * b})" for dy, b in zip((-1, 0, 1), (3, 10, 3)) for dx, a in zip((-1, 0, 1), (3, 10, 3))) + ")"
+#: Beyond the borders lies the mirror image of the pixels next to them.
+BESIDE = "JOIN img0 s ON s.channel = t.channel AND s.y = 63 - abs(63 - abs(t.y + dy)) AND s.x = 63 - abs(63 - abs(t.x + dx))"
+GRAD = f"g AS (SELECT t.channel, t.y, t.x, sum(s.v * wy) AS gy, sum(s.v * wx) AS gx FROM img0 t CROSS JOIN {SCHARR_SQL} w(dy, dx, wy, wx) {BESIDE} GROUP BY 1, 2, 3)"
 
 
-@query(f"""WITH {IMG} SELECT channel, y - dy AS y, x - dx AS x, round(sum(v * w), 6) AS v FROM img, {GAUSS_SQL} k(dy, dx, w) WHERE y - dy BETWEEN 0 AND 63 AND x - dx BETWEEN 0 AND 63 GROUP BY 1, 2, 3""")
+@query(f"WITH {IMG0} SELECT t.channel, t.y, t.x, round_even(sum(s.v * w), 0) AS v FROM img0 t CROSS JOIN {GAUSS_SQL} k(dy, dx, w) {BESIDE} GROUP BY 1, 2, 3")
 def q_gauss5(spark, d):
-    return pixels.correlate(lenses.img(spark, d), pixels.GAUSS, ["channel"], 64, 64).withColumn("v", r6("v"))
+    return lenses.on_planes(lenses.image(spark, d), "y int, x int, v double", lambda a: lenses.each_pixel(v=circles.smooth(a)))
 
 
-@query(f"WITH {IMG}, {GRAD} SELECT channel, y, x, round(gy, 6) AS gy, round(gx, 6) AS gx FROM g")
+@query(f"WITH {IMG0}, {GRAD} SELECT channel, y, x, round(gy, 6)::DOUBLE AS gy, round(gx, 6)::DOUBLE AS gx FROM g")
 def q_scharr(spark, d):
-    g = pixels.gradient(lenses.img(spark, d), ["channel"], 64, 64)
-    return g.withColumns({"gy": r6("gy"), "gx": r6("gx")})
+    return lenses.on_planes(lenses.image(spark, d), "y int, x int, gy double, gx double", lambda a: lenses.each_pixel(**dict(zip(("gy", "gx"), circles.gradients(a)))))
 
 
-@query(f"WITH {IMG}, {GRAD} SELECT channel, round(quantile_cont(sqrt(gy * gy + gx * gx), 0.1), 6) AS low, round(quantile_cont(sqrt(gy * gy + gx * gx), 0.9), 6) AS high FROM g GROUP BY 1")
+@query(f"WITH {IMG0}, {GRAD} SELECT channel, round(quantile_cont(sqrt(gy * gy + gx * gx), 0.1), 6) AS low, round(quantile_cont(sqrt(gy * gy + gx * gx), 0.9), 6) AS high FROM g GROUP BY 1")
 def q_edge_quantiles(spark, d):
-    t = pixels.edge_thresholds(pixels.gradient(lenses.img(spark, d), ["channel"], 64, 64), ["channel"], 0.1, 0.9)
+    t = lenses.on_planes(lenses.image(spark, d), "low double, high double", lambda a: {k: [v] for k, v in zip(("low", "high"), circles.thresholds(*circles.gradients(a), 0.1, 0.9))})
     return t.withColumns({"low": r6("low"), "high": r6("high")})
 
 
+@query(f"""WITH RECURSIVE {IMG0}, {GRAD}, l AS (SELECT channel, y, x, sqrt(gy * gy + gx * gx) AS n, gy, gx, abs(gx) * tan(pi() / 8) AS flat, abs(gx) * tan(3 * pi() / 8) AS steep FROM g),
+o AS (SELECT l.*, CASE WHEN abs(gy) < flat THEN 0 WHEN abs(gy) > steep THEN 1 WHEN (gy < 0) = (gx < 0) THEN 2 ELSE 3 END AS way FROM l),
+p AS (SELECT o.*, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after FROM o JOIN (VALUES (0, 0, 1), (1, 1, 0), (2, 1, 1), (3, 1, -1)) w(way, dy, dx) ON w.way = o.way
+  LEFT JOIN l a ON a.channel = o.channel AND a.y = o.y - dy AND a.x = o.x - dx LEFT JOIN l b ON b.channel = o.channel AND b.y = o.y + dy AND b.x = o.x + dx),
+weak AS (SELECT channel, y, x, n FROM p WHERE n > 200 AND n > before AND (n > after OR way < 2 AND n = after)),
+kept AS (SELECT channel, y, x FROM weak WHERE n > 500 UNION SELECT v.channel, v.y, v.x FROM kept k JOIN weak v ON v.channel = k.channel AND abs(v.y - k.y) <= 1 AND abs(v.x - k.x) <= 1)
+SELECT channel, y, x FROM kept""")
+def q_canny(spark, d):
+    def edges(a):
+        y, x = np.nonzero(circles.canny(*circles.gradients(a), 200.0, 500.0))
+        return {"y": y, "x": x}
+
+    return lenses.on_planes(lenses.image(spark, d), "y int, x int", edges)
+
+
 @query(f"WITH {IMG} SELECT channel, (y // 20)::INT AS cy, (x // 20)::INT AS cx, count(*) AS n FROM img WHERE v >= 40 GROUP BY ALL")
 def q_edge_grid(spark, d):
-    return pixels.edge_grid(lenses.img(spark, d).filter("v >= 40"), ["channel"], 20)
+    def cells(a):
+        y, x, starts, counts = circles.by_cell(a >= 40, 20)
+        return {"cy": y[starts] // 20, "cx": x[starts] // 20, "n": counts}
+
+    return lenses.on_planes(lenses.image(spark, d), "cy int, cx int, n long", cells)
 
 
 @query("""SELECT p_partkey AS id, round_even(p_partkey % 97 + p_size / 4.0 - 8, 0)::INT AS y, round_even(p_partkey % 89 - p_size / 8.0, 0)::INT AS x, round_even(p_size / 4.0, 0)::INT AS r FROM part
@@ -219,7 +242,13 @@ def q_edge_grid(spark, d):
 def q_circle_filter(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     c = of(spark, d, "part").select(k.alias("id"), (k % 97 + s / 4.0 - 8).alias("y"), (k % 89 - s / 8.0).alias("x"), (s / 4.0).alias("r"))
-    return pixels.keep_circles(c, 2.0, 10.0, 80, 80)
+
+    def run(batches):
+        for pdf in batches:
+            kept, at = circles.within(pdf[["y", "x", "r"]].to_numpy(dtype=float), 2.0, 10.0, (80, 80))
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[at], "y": kept[:, 0], "x": kept[:, 1], "r": kept[:, 2]})
+
+    return c.mapInPandas(run, "id long, y int, x int, r int")
 
 
 RING_SQL = "(VALUES " + ", ".join(f"({r}, {int(dy)}, {int(dx)}, {len(geometry.ring(r))})" for r in (3, 4, 5) for dy, dx in geometry.ring(r)) + ")"
@@ -229,37 +258,42 @@ def _score_circles(spark, d):
     return of(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 61).cast("int").alias("y"), (F.col("p_partkey") * 7 % 59).cast("int").alias("x"), (3 + F.col("p_size") % 3).cast("int").alias("r"))
 
 
-@query(f"""WITH {IMG}, {GRAD}, e AS (SELECT y, x, atan2(gy, gx) AS angle FROM g WHERE channel = 'A' AND gy * gy + gx * gx > 10000),
-c AS (SELECT p_partkey AS id, (p_partkey % 61)::INT AS y, (p_partkey * 7 % 59)::INT AS x, 3 + p_size % 3 AS r FROM part),
-a AS (SELECT id, n, dy, dx, c.y + dy AS y, c.x + dx AS x FROM c JOIN {RING_SQL} o(r, dy, dx, n) USING (r)),
-f AS (SELECT id, n, CASE WHEN abs(angle - atan2(dy, dx)) > pi() THEN abs(angle - atan2(dy, dx)) - pi() ELSE abs(angle - atan2(dy, dx)) END AS off FROM a LEFT JOIN e USING (y, x))
-SELECT id, round(sum(coalesce(4 * abs(off - pi() / 2) / pi() - 1, 0)) / any_value(n), 6) AS score FROM f GROUP BY id""")
+@query(f"""WITH {IMG0}, {GRAD}, e AS (SELECT channel, y, x, atan2(gy, gx) AS angle FROM g WHERE gy * gy + gx * gx > 10000),
+c AS (SELECT p_partkey AS id, channel, (p_partkey % 61)::INT AS y, (p_partkey * 7 % 59)::INT AS x, 3 + p_size % 3 AS r FROM part CROSS JOIN (SELECT DISTINCT channel FROM img)),
+a AS (SELECT channel, id, n, dy, dx, c.y + dy AS y, c.x + dx AS x FROM c JOIN {RING_SQL} o(r, dy, dx, n) USING (r)),
+f AS (SELECT channel, id, n, CASE WHEN abs(angle - atan2(dy, dx)) > pi() THEN abs(angle - atan2(dy, dx)) - pi() ELSE abs(angle - atan2(dy, dx)) END AS off FROM a LEFT JOIN e USING (channel, y, x))
+SELECT channel, id, round(sum(coalesce(4 * abs(off - pi() / 2) / pi() - 1, 0)) / any_value(n), 6) AS score FROM f GROUP BY channel, id""")
 def q_circle_score(spark, d):
-    g = pixels.gradient(lenses.img(spark, d), ["channel"], 64, 64).filter("channel = 'A' and gy * gy + gx * gx > 10000")
-    edges = g.select("y", "x", F.atan2("gy", "gx").alias("angle"))
-    return pixels.score_circles(_score_circles(spark, d), edges, (3, 4, 5)).withColumn("score", r6("score"))
+    """Circles of the parts in every channel."""
 
+    def run(key: tuple, blocks: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        dy, dx = circles.gradients(plane(blocks))
+        found = circles.scores(parts[["y", "x", "r"]].to_numpy(), dy * dy + dx * dx > 10000, np.arctan2(dy, dx))
+        return pd.DataFrame({"channel": key[0], "id": parts["id"], "score": found})
 
-_RING8 = {tuple(map(int, p)) for p in geometry.ring(8, True)}
-TOUCH_SQL = "(VALUES " + ", ".join(f"({a}, {b})" for a, b in sorted({(p[0] - q[0], p[1] - q[1]) for p in _RING8 for q in _RING8})) + ")"
+    everywhere = _score_circles(spark, d).withColumn("channel", F.explode(F.array(*map(F.lit, lenses.COLOURS))))
+    got = lenses.image(spark, d).groupBy("channel").cogroup(everywhere.groupBy("channel")).applyInPandas(run, "channel string, id long, score double")
+    return got.withColumn("score", r6("score"))
 
 
-@query(f"""WITH c AS (SELECT p_partkey AS id, (p_partkey * 31 % 509)::INT AS y, (p_partkey * 17 % 503)::INT AS x FROM part)
-SELECT p.id AS a, q.id AS b FROM c p, {TOUCH_SQL} t(dy, dx), c q WHERE q.y = p.y + dy AND q.x = p.x + dx AND p.id < q.id""")
-def q_nms_conflicts(spark, d):
-    return pixels.conflicts(_spread(spark, d), 8)
+_RING8 = {tuple(map(int, p)) for p in geometry.ring(8, True)}
+TOUCH_SQL = "[" + ", ".join(str(1000 * a + b) for a, b in sorted({(p[0] - q[0], p[1] - q[1]) for p in _RING8 for q in _RING8})) + "]"
 
 
 def _spread(spark, d):
     return of(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 31 % 509).cast("int").alias("y"), (F.col("p_partkey") * 17 % 503).cast("int").alias("x"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT p_brand AS plane, p_partkey AS id, (p_partkey * 31 % 509)::INT AS y, (p_partkey * 17 % 503)::INT AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+g(plane, k, id, fine, chosen) AS (SELECT plane, k, id, true, [{{'y': y, 'x': x}}] FROM c WHERE k = 1 UNION ALL
+  SELECT plane, k, id, fine, CASE WHEN fine THEN list_append(chosen, {{'y': y, 'x': x}}) ELSE chosen END FROM (
+    SELECT c.plane, c.k, c.id, c.y, c.x, chosen, len(list_filter(chosen, lambda q: list_contains({TOUCH_SQL}, 1000 * (c.y - q.y) + c.x - q.x))) = 0 AS fine FROM g JOIN c ON c.plane = g.plane AND c.k = g.k + 1))
+SELECT plane, id FROM g WHERE fine""")
 def q_nms(spark, d):
     """The greedy choice itself, per image (here one per brand)."""
     c = _spread(spark, d).join(of(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("plane")), "id")
 
-    def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         at = circles.greedy(np.column_stack([pdf["y"], pdf["x"], np.full(len(pdf), 8)]), 8, (512, 512))
         return pd.DataFrame({"plane": key[0], "id": pdf["id"].to_numpy()[at]})
@@ -268,7 +302,7 @@ def q_nms(spark, d):
 
 
 def _drawn(spark, d):
-    """An image with a disk at every place of the chip, as blocks."""
+    """An image with a disk at every place of the chip, in blocks of 200 x 200."""
     marks = lenses.chip(spark, d).select("y", "x")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -277,16 +311,28 @@ def _drawn(spark, d):
         for y, x in zip(pdf["y"].astype(int), pdf["x"].astype(int)):
             p = geometry.disk(10) + [y, x]
             out[p[:, 0], p[:, 1]] = 1000
-        return pd.DataFrame({"assay": ["a"], "channel": ["0"], "time_idx": [0], "y0": [0], "x0": [0], "height": [h], "width": [w], "px": [out.ravel().tolist()]})
+        blocks = [(y, x, out[y : y + 200, x : x + 200]) for y in range(0, h, 200) for x in range(0, w, 200)]
+        return pd.DataFrame([("a", "0", 0, y, x, *b.shape, b.ravel().tolist()) for y, x, b in blocks], columns=["assay", "channel", "time_idx", "y0", "x0", "height", "width", "px"])
 
     from spotlake.model import SCHEMAS
 
     return marks.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(draw, SCHEMAS["image"])
 
 
-@query()
+def _places(found):
+    """Where disks were found, to the nearest ten pixels, and whether their radius is that of the disks drawn but for a pixel."""
+    near = lambda c: (10 * F.round(F.col(c) / 10)).cast("int").alias(c)
+    return [near("y"), near("x"), (F.abs(found["radius"] - 10) <= 1).alias("sized")]
+
+
+#: Disks are drawn less than five pixels from these places.
+PLACES_SQL = "(100 * (mark_row + 1))::INT AS y, (100 * (mark_col + 1))::INT AS x"
+
+
+@query(f"WITH {CHIP} SELECT channel, {PLACES_SQL}, true AS sized FROM chip, (VALUES ('0')) c(channel)")
 def q_find_circles(spark, d):
-    return find.detect(_drawn(spark, d), low_quantile=0.1, high_quantile=0.9, grid=20, n_iter=5_000_000, min_radius=8, max_radius=12, min_roundness=0.3, min_dist=8)
+    found = find.detect(_drawn(spark, d), low_quantile=0.1, high_quantile=0.9, grid=20, n_iter=5_000_000, min_radius=8, max_radius=12, min_roundness=0.3, min_dist=8)
+    return found.select("channel", *_places(found))
 
 
 # ---- grids ----
@@ -350,38 +396,40 @@ def q_grid_intersect(spark, d):
 # ---- finders, masks, regions, time ----
 
 
-@query()
+@query(f"WITH {CHIP} SELECT {PLACES_SQL}, true AS sized, true AS valid FROM chip")
 def q_find_beads(spark, d):
     from spotlake.model import Assay, table
 
     a = Assay({"image": _drawn(spark, d), "dims": table("dims", [("a", "channel", 0, "0", {}), ("a", "time", 0, "0", {})])}, {"name": "a"})
     out = find.find_beads(a, 16, 24)
-    return out["marks"].select("mark", "y", "x", "radius", F.round("score", 6).alias("score"), "valid")
+    return out["marks"].select(*_places(out["marks"]), "valid")
 
 
-@query()
+@query(f"WITH {CHIP} SELECT mark, mark_row, mark_col, {PLACES_SQL}, true AS sized, tag, true AS valid FROM chip")
 def q_find_buttons(spark, d):
+    """Buttons without a tag are not looked for, so they have the largest radius and the places of the grid."""
     from spotlake.model import Assay, table
 
     chip = lenses.chip(spark, d)
     a = Assay({"image": _drawn(spark, d), "tags": chip.select("mark_row", "mark_col", "tag"), "dims": table("dims", [("a", "channel", 0, "0", {}), ("a", "time", 0, "0", {})])}, {"name": "a"})
     out = find.find_buttons(a, row_dist=100, col_dist=100, min_button_diameter=16, max_button_diameter=32)
-    return out["marks"].select("mark", "mark_row", "mark_col", "y", "x", "radius", "tag", "valid")
+    places = [c if i < 2 else (F.when(F.col("tag") == "", F.col("radius") == 16).otherwise(c)).alias("sized") for i, c in enumerate(_places(out["marks"]))]
+    return out["marks"].select("mark", "mark_row", "mark_col", *places, "tag", "valid")
 
 
 @query(f"""WITH o(dy, a, b) AS (VALUES {_spans(30)}), i(dy, a, b) AS (VALUES {_spans(16)}), w AS (SELECT y::INT AS y, x::INT AS x FROM range(72) a(y), range(72) b(x))
 SELECT y, x, o.dy IS NOT NULL AND i.dy IS NULL AS bg FROM w LEFT JOIN o ON y - 36 = o.dy AND x - 36 BETWEEN o.a AND o.b LEFT JOIN i ON y - 36 = i.dy AND x - 36 BETWEEN i.a AND i.b""")
 def q_annulus(spark, d):
-    w = spark.range(72 * 72).select(F.floor(F.col("id") / 72).cast("int").alias("y"), (F.col("id") % 72).cast("int").alias("x"))
-    ring = pixels.in_disk(F.col("y"), F.col("x"), (36, 36), 30) & ~pixels.in_disk(F.col("y"), F.col("x"), (36, 36), 16)
-    return w.withColumn("bg", ring)
+    mark = spark.createDataFrame([("a", 0, 0, 36.0, 36.0, 10.0)], "assay string, mark int, time_idx int, y double, x double, radius double")
+    masks = find.annulus_masks(mark, 72, 16, 30, 72, 72).select(F.posexplode("bg").alias("i", "bg"))
+    return masks.select(F.floor(F.col("i") / 72).cast("int").alias("y"), (F.col("i") % 72).cast("int").alias("x"), "bg")
 
 
 @query("""WITH p AS (SELECT l_orderkey * 1000000 + l_partkey * 100 + l_suppkey AS id, min(l_linenumber) % 2 AS ch, (l_orderkey * 37 % 4001)::DOUBLE AS y, (l_partkey * 53 % 3989)::DOUBLE AS x FROM lineitem
-  WHERE l_shipdate < TIMESTAMP '1998-09-01' GROUP BY l_orderkey, l_partkey, l_suppkey)
+  GROUP BY l_orderkey, l_partkey, l_suppkey)
 SELECT id FROM p WHERE ch = 0 UNION ALL SELECT id FROM p WHERE ch = 1 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.ch = 0 AND (q.y - p.y) ** 2 + (q.x - p.x) ** 2 <= 400)""")
 def q_bead_dedup(spark, d):
-    keys = of(spark, d, "lineitem").filter("l_shipdate < timestamp '1998-09-01'").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg((F.min("l_linenumber") % 2).cast("string").alias("channel"))
+    keys = of(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg((F.min("l_linenumber") % 2).cast("string").alias("channel"))
     p = keys.select((F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("id"), "channel", (F.col("l_orderkey") * 37 % 4001).cast("double").alias("y"), (F.col("l_partkey") * 53 % 3989).cast("double").alias("x"))
     return grid.merge_points(p, ["0", "1"], 20.0).select("id")
 
@@ -421,14 +469,11 @@ def q_bead_masks(spark, d):
 w AS (SELECT mark, least(greatest(y0 - 6, 0), 52) AS top, least(greatest(x0 - 6, 0), 52) AS lft FROM m)
 SELECT mark, channel, (y - top)::INT AS roi_y, (x - lft)::INT AS roi_x, v FROM w JOIN img ON y BETWEEN top AND top + 11 AND x BETWEEN lft AND lft + 11""")
 def q_roi_extract(spark, d):
-    """Windows of marks by an equality join on cells of the size of a window."""
     k = F.col("s_suppkey")
-    m = of(spark, d, "supplier").select(k.cast("int").alias("mark"), window_start(k * 13 % 64, 12, 64).alias("top"), window_start(k * 7 % 64, 12, 64).alias("left"))
-    cell = lambda c: F.explode(F.array(F.floor(F.col(c) / 12), F.floor(F.col(c) / 12) + 1))
-    cells = m.withColumn("cy", cell("top")).withColumn("cx", cell("left"))
-    px = lenses.img(spark, d).withColumns({"cy": F.floor(F.col("y") / 12), "cx": F.floor(F.col("x") / 12)})
-    met = cells.join(px, ["cy", "cx"]).select("mark", "channel", (F.col("y") - F.col("top")).cast("int").alias("roi_y"), (F.col("x") - F.col("left")).cast("int").alias("roi_x"), "v")
-    return met.filter("roi_y between 0 and 11 and roi_x between 0 and 11")
+    marks = of(spark, d, "supplier").select(F.lit("a").alias("assay"), k.cast("int").alias("mark"), F.lit(0).alias("time_idx"), (k * 13 % 64).cast("double").alias("y"), (k * 7 % 64).cast("double").alias("x"))
+    rois = find.cut_rois(lenses.image(spark, d), marks, 12, 64, 64)
+    px = lenses.pixels(rois.withColumn("width", F.col("side")), "mark", "channel")
+    return px.filter("v > 0").withColumnsRenamed({"y": "roi_y", "x": "roi_x"})
 
 
 @query(f"""WITH {SERIES}, e AS (SELECT DISTINCT mark, t FROM series, range(30) r(t)), j AS (SELECT e.mark, t::INT AS time_idx, x, y FROM e LEFT JOIN series s ON s.mark = e.mark AND s.time_idx = t)
@@ -439,12 +484,18 @@ def q_time_fill(spark, d):
     return grid.fill_times(lenses.series(spark, d), times, ["mark"], ["x", "y"])
 
 
-@query()
+#: The midpoint circle of radius 1 to 25, an octant at a time.
+MIDPOINT = """octant(r, x, y) AS (SELECT r::INT, 1, -r::INT FROM range(1, 26) u(r) UNION ALL SELECT r, x + 1, CASE WHEN x * x + y * y <= r * r THEN y ELSE y + 1 END FROM octant WHERE x < -y),
+ring AS (SELECT DISTINCT r, sy * CASE WHEN f THEN x ELSE y END AS dy, sx * CASE WHEN f THEN y ELSE x END AS dx FROM octant, (VALUES (-1), (1)) a(sy), (VALUES (-1), (1)) b(sx), (VALUES (true), (false)) c(f) WHERE x <= -y
+  UNION SELECT r::INT, dy * r::INT, dx * r::INT FROM range(1, 26) u(r), (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) e(dy, dx))"""
+
+
+@query(f"WITH RECURSIVE {MIDPOINT}, s AS (SELECT r, dy, min(dx) AS a, max(dx) AS b FROM ring GROUP BY 1, 2) SELECT r, dy, unnest(range(a, b + 1))::INT AS dx FROM s")
 def q_disk(spark, d):
     return geometry.disk_table(range(1, 26))
 
 
-@query()
+@query(f"WITH RECURSIVE {MIDPOINT} SELECT r, dy, dx FROM ring")
 def q_ring(spark, d):
     return geometry.ring_table(range(1, 26))
 
@@ -462,8 +513,7 @@ def q_identify_buttons(spark, d):
 
 @query(f"WITH {ROI} SELECT mark, channel, round(avg(v) FILTER (fg) - median(v) FILTER (bg), 6) AS i FROM roi GROUP BY ALL")
 def q_mark_intensity(spark, d):
-    i = F.avg(F.when(F.col("fg"), F.col("v"))) - F.median(F.when(F.col("bg"), F.col("v")))
-    return lenses.roi(spark, d).groupBy("mark", "channel").agg(r6(i).alias("i"))
+    return identify.intensities(*lenses.regions(spark, d)).select("mark", "channel", r6("i").alias("i"))
 
 
 WEIGHTS_SQL = "(VALUES " + ", ".join(f"('{c}', '{ln}', {w!r})" for c, ln, w in identify.weights_of(lenses.SPECTRA).itertuples(index=False)) + ")"
@@ -480,73 +530,97 @@ def q_ln_ratio(spark, d):
     return identify.unmix(lenses.spec(spark, d), lenses.SPECTRA, "eu").select("mark", "ln", F.round("ratio", 4).alias("ratio"))
 
 
-@query(f"""WITH {RATIOS}, e AS (SELECT a.mark, row_number() OVER (PARTITION BY a.mark ORDER BY (a.u - b.u) ** 2 + (a.w - b.w) ** 2) AS k, sqrt((a.u - b.u) ** 2 + (a.w - b.w) ** 2) AS dist FROM ratios a, ratios b),
-k AS (SELECT mark, dist FROM e WHERE k = 5), q AS (SELECT quantile_cont(dist, 0.95) AS q FROM k) SELECT mark, dist <= q AS kept FROM k, q""")
+@query(f"""WITH {RATIOS}, n AS (SELECT least(round_even(count(*) / 80.0, 0) + 2, count(*)) AS near FROM ratios),
+e AS (SELECT a.mark, row_number() OVER (PARTITION BY a.mark ORDER BY (a.u - b.u) ** 2 + (a.w - b.w) ** 2) AS k, sqrt((a.u - b.u) ** 2 + (a.w - b.w) ** 2) AS dist FROM ratios a, ratios b),
+k AS (SELECT mark, dist FROM e, n WHERE k = near), q AS (SELECT quantile_cont(dist, 0.95) AS q FROM k) SELECT mark, dist <= q AS kept FROM k, q""")
 def q_knn_trim(spark, d):
-    """Marks whose fifth neighbour (themselves the first) is near. Marks of one assay are few: one task holds them, in blocks."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"mark": pdf["mark"], "kept": identify.trim(pdf[["u", "w"]].to_numpy(), 4)})
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[["u", "w"]].to_numpy()
-        dist = np.concatenate([np.sort(np.sqrt(((x[lo : lo + 512, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 4] for lo in range(0, len(x), 512)])
-        return pd.DataFrame({"mark": pdf["mark"], "dist": dist})
+    return _of_assay(spark, d, run, "mark int, kept boolean")
 
-    kth = lenses.ratios(spark, d).groupBy(F.lit("a")).applyInPandas(run, "mark int, dist double")
-    bound = kth.agg(F.percentile("dist", F.lit(0.95)).alias("q"))
-    return kth.join(F.broadcast(bound), F.lit(True)).select("mark", (F.col("dist") <= F.col("q")).alias("kept"))
 
+def _of_assay(spark, d, run, schema):
+    """What run makes of the ratios of all marks, which are those of one assay: few, and in one task."""
+    return lenses.ratios(spark, d).groupBy(F.lit("a")).applyInPandas(run, schema)
 
-@query()
+
+@query(f"""WITH {RATIOS}, m AS (SELECT min(u) AS lo, max(u) AS hi, (max(u) - min(u)) / 0.9 AS s, count(*) AS total FROM ratios),
+grid AS (SELECT i, j, 0.75 * s + i * ((1.25 * s - 0.75 * s) / 99) AS scale, lo + j * ((0.25 * hi + 0.75 * lo - lo) / 99) AS shift FROM m, range(100) a(i), range(100) b(j)),
+near AS (SELECT i, j, scale, shift, u, least(greatest(floor((u - shift) / (scale * 0.1) + 0.5), 0), 9) * 0.1 AS code FROM grid, ratios),
+c AS (SELECT i, j, any_value(scale) AS scale, any_value(shift) AS shift, count(*) AS n, sum((u - (scale * code + shift)) ** 2) AS d FROM near GROUP BY i, j, code),
+cost AS (SELECT i, j, any_value(scale) AS scale, any_value(shift) AS shift, 100 * avg(d / n) + avg((n / total - 0.1) ** 2) AS cost FROM c, m GROUP BY i, j HAVING count(*) = 10)
+SELECT round(scale, 6) AS scale, round(shift, 6) AS shift FROM cost ORDER BY cost, i, j LIMIT 1""")
 def q_affine_fit(spark, d):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s, p = identify.fit_axis(pdf["u"].to_numpy(), np.arange(10) / 10.0)
         return pd.DataFrame({"scale": [round(s, 6)], "shift": [round(p, 6)]})
 
-    return lenses.ratios(spark, d).groupBy(F.lit("a")).applyInPandas(run, "scale double, shift double")
+    return _of_assay(spark, d, run, "scale double, shift double")
 
 
 CENTRES = "centres AS (SELECT code, median(u) AS cu, median(w) AS cw FROM ratios GROUP BY 1)"
 
 
-def _centres(spark, d):
-    return lenses.ratios(spark, d).groupBy("code").agg(F.median("u").alias("cu"), F.median("w").alias("cw"))
+def _mixture(pdf: pd.DataFrame):
+    x, own = pdf[["u", "w"]].to_numpy(), pdf["code"].to_numpy()
+    return x, *identify.mixture_start(x, own, int(own.max()) + 1)
+
+
+def _of_classes(codes, means, covs, weights, **more) -> pd.DataFrame:
+    own = {"mu": means[:, 0], "mw": means[:, 1], "uu": covs[:, 0, 0], "uw": covs[:, 0, 1], "ww": covs[:, 1, 1], "weight": weights[:-1]}
+    return pd.DataFrame({"code": codes, **{k: np.round(v, 6) for k, v in (own | more).items()}})
 
 
 @query(f"WITH {RATIOS}, {CENTRES} SELECT mark, arg_min(c.code, {{'a': (u - cu) ** 2 + (w - cw) ** 2, 'b': c.code}}) AS nearest FROM ratios, centres c GROUP BY mark")
 def q_nearest_code(spark, d):
-    """The codes are a parameter of an assay, so few: the nearest is found by a broadcast of them."""
-    r = lenses.ratios(spark, d).drop("code").crossJoin(F.broadcast(_centres(spark, d)))
-    far = (F.col("u") - F.col("cu")) ** 2 + (F.col("w") - F.col("cw")) ** 2
-    return r.groupBy("mark").agg(F.min_by("code", F.struct(far.alias("a"), "code")).alias("nearest"))
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, codes, means, _, _ = _mixture(pdf)
+        return pd.DataFrame({"mark": pdf["mark"], "nearest": np.array(codes)[identify.nearest(x, means)]})
+
+    return _of_assay(spark, d, run, "mark int, nearest int")
+
 
+START = """s AS (SELECT code, count(*) AS n, median(u) AS mu, median(w) AS mw, covar_samp(u, u) + 1e-10 AS uu, covar_samp(u, w) AS uw, covar_samp(w, w) + 1e-10 AS ww FROM ratios GROUP BY 1),
+shared AS (SELECT median(uu) AS uu, median(uw) AS uw, median(ww) AS ww, sum(n + 1) + 1e-10 AS total FROM s),
+mix AS (SELECT code, mu, mw, shared.uu, shared.uw, shared.ww, (n + 1) / total AS weight FROM s, shared)"""
+CLASSES = "code int, mu double, mw double, uu double, uw double, ww double, weight double"
 
-@query(f"""WITH {RATIOS} SELECT code, count(*) AS n, round(median(u), 6) AS mu, round(median(w), 6) AS mw, round(covar_samp(u, u), 6) AS uu, round(covar_samp(u, w), 6) AS uw, round(covar_samp(w, w), 6) AS ww FROM ratios GROUP BY 1""")
+
+@query(f"WITH {RATIOS}, {START} SELECT code, round(mu, 6) AS mu, round(mw, 6) AS mw, round(uu, 6) AS uu, round(uw, 6) AS uw, round(ww, 6) AS ww, round(weight, 6) AS weight FROM mix")
 def q_gmm_init(spark, d):
-    return lenses.ratios(spark, d).groupBy("code").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.median("u")).alias("mu"), r6(F.median("w")).alias("mw"), r6(F.covar_samp("u", "u")).alias("uu"), r6(F.covar_samp("u", "w")).alias("uw"), r6(F.covar_samp("w", "w")).alias("ww")
-    )
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, codes, means, covs, weights = _mixture(pdf)
+        return _of_classes(codes, means, covs, weights)
+
+    return _of_assay(spark, d, run, CLASSES)
 
 
-@query(f"""WITH {RATIOS}, {CENTRES}, l AS (SELECT mark, u, w, code AS k, -((u - cu) ** 2 + (w - cw) ** 2) / 0.02 AS lg FROM (SELECT mark, u, w FROM ratios), centres),
-p AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY mark)) AS e FROM l), q AS (SELECT *, e / sum(e) OVER (PARTITION BY mark) AS p FROM p)
-SELECT k AS code, round(sum(p), 4) AS n, round(sum(p * u) / sum(p), 4) AS mu, round(sum(p * w) / sum(p), 4) AS mw, round(sum(p * u * u) / sum(p) - (sum(p * u) / sum(p)) ** 2, 4) AS uu FROM q GROUP BY 1""")
+@query(f"""WITH {RATIOS}, {START}, l AS (SELECT mark, u, w, code, ln(weight) - (ww * (u - mu) ** 2 - 2 * uw * (u - mu) * (w - mw) + uu * (w - mw) ** 2) / (2 * (uu * ww - uw * uw)) - 0.5 * ln(uu * ww - uw * uw) - ln(2 * pi()) AS lg
+  FROM (SELECT mark, u, w FROM ratios), mix UNION ALL SELECT mark, u, w, NULL, ln(1e-10 / total) - (SELECT ln(max(u) - min(u)) + ln(max(w) - min(w)) FROM ratios) FROM ratios, shared),
+e AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY mark)) AS e FROM l), p AS (SELECT *, e / sum(e) OVER (PARTITION BY mark) AS p FROM e),
+m AS (SELECT code, sum(p) AS n, sum(p * u) / sum(p) AS mu, sum(p * w) / sum(p) AS mw, avg(p) AS weight FROM p WHERE code IS NOT NULL GROUP BY 1),
+c AS (SELECT code, any_value(n) AS n, any_value(mu) AS mu, any_value(mw) AS mw, any_value(weight) AS weight, sum(p * (u - mu) ** 2) / any_value(n) AS uu, sum(p * (u - mu) * (w - mw)) / any_value(n) AS uw, sum(p * (w - mw) ** 2) / any_value(n) AS ww FROM p JOIN m USING (code) GROUP BY 1),
+wide AS (SELECT median(v) / 10 AS wide FROM (SELECT unnest([uu, uw, uw, ww]) AS v FROM c))
+SELECT code, round(n, 6) AS n, round(mu, 6) AS mu, round(mw, 6) AS mw, round(uu + wide, 6) AS uu, round(uw, 6) AS uw, round(ww + wide, 6) AS ww, round(weight, 6) AS weight FROM c, wide""")
 def q_gmm_step(spark, d):
-    """One round of expectation and maximisation as an aggregate, for mixtures of more marks than a task should hold."""
-    l_ = lenses.ratios(spark, d).drop("code").crossJoin(F.broadcast(_centres(spark, d))).withColumn("lg", -((F.col("u") - F.col("cu")) ** 2 + (F.col("w") - F.col("cw")) ** 2) / 0.02)
-    w = Window.partitionBy("mark")
-    p = l_.withColumn("e", F.exp(F.col("lg") - F.max("lg").over(w))).withColumn("p", F.col("e") / F.sum("e").over(w))
-    n, mu = F.sum("p"), F.sum(F.col("p") * F.col("u")) / F.sum("p")
-    return p.groupBy("code").agg(
-        F.round(n, 4).alias("n"), F.round(mu, 4).alias("mu"), F.round(F.sum(F.col("p") * F.col("w")) / n, 4).alias("mw"), F.round(F.sum(F.col("p") * F.col("u") * F.col("u")) / n - mu**2, 4).alias("uu")
-    )
+    """One round of expectation and maximisation."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, codes, means, covs, weights = _mixture(pdf)
+        p = identify.responsibilities(x, means, covs, weights, identify.uniform_density(x))
+        return _of_classes(codes, *identify.mixture_step(x, p), n=p.sum(axis=0)[:-1])
+
+    return _of_assay(spark, d, run, CLASSES + ", n double")
 
 
 @query()
 def q_identify_mrbles(spark, d):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         codes = np.array([[i / 10, j / 10] for i in (-1, 1) for j in (-1, 1)])
         return pd.DataFrame({"mark": pdf["mark"], "tag": identify.assign_codes(pdf[["u", "w"]].to_numpy(), codes, ["a", "b", "c", "d"])})
 
-    return lenses.ratios(spark, d).groupBy(F.lit("a")).applyInPandas(run, "mark int, tag string")
+    return _of_assay(spark, d, run, "mark int, tag string")
 
 
 # ---- filters ----
@@ -572,7 +646,15 @@ def q_pairwise_std(spark, d):
     return filters.pairwise_std(lenses.medians(spark, d)).select("channel", F.round("std", 4).alias("std"))
 
 
-@query()
+STEP = "CASE WHEN {0} = 0 THEN 1 ELSE sqrt(2) + {0} - 1 END"
+
+
+@query(f"""WITH RECURSIVE {MIDPOINT}, s AS (SELECT r, dy, min(dx) AS a, max(dx) AS b FROM ring GROUP BY 1, 2),
+n AS (SELECT s.r, sum(s.b - s.a + 1) AS area, sum(CASE WHEN t.r IS NULL THEN 0 ELSE {STEP.format('abs(s.a - t.a)')} + {STEP.format('abs(s.b - t.b)')} END + CASE WHEN abs(s.dy) = s.r THEN s.b - s.a ELSE 0 END) AS length
+  FROM s LEFT JOIN s t ON t.r = s.r AND t.dy = s.dy + 1 GROUP BY 1),
+m AS (SELECT p_partkey::INT AS mark, CASE p_partkey % 3 WHEN 0 THEN area WHEN 1 THEN (1 + p_size % 20) * (1 + p_size % 40) ELSE 1 + p_size % 40 END AS area,
+  CASE p_partkey % 3 WHEN 0 THEN length WHEN 1 THEN 2 * (p_size % 20) + 2 * (p_size % 40) ELSE 2 * (p_size % 40) END AS length FROM part LEFT JOIN n ON n.r = 4 + p_size % 20)
+SELECT mark, coalesce(4 * pi() * area / nullif(length, 0) ** 2 > 0.75, false) AS fine FROM m""")
 def q_filter_nonround(spark, d):
     """Roundness of bars, squares and disks drawn from part sizes."""
 
@@ -595,15 +677,23 @@ def q_filter_nonround(spark, d):
 # ---- output ----
 
 
-@query(f"WITH {IMG} SELECT channel, y, x, v FROM img")
+@query("""SELECT * FROM (VALUES ('default', 'dims', 4), ('default', 'image', 12), ('regions', 'dims', 4), ('all', 'dims', 4), ('all', 'image', 12), ('all', 'tiles', 12)) t(kind, name, n)""")
 def q_drop(spark, d):
-    """The image without what belongs to tiles: the scan reads no more columns than these need."""
-    return lenses.img(spark, d).select("channel", "y", "x", "v")
+    """The tables that are left of an assay with tiles and an image, and their rows."""
+    full = lenses.assay(spark, d)
+    left = {"default": finish.drop(full), "regions": finish.drop(full, roi_only=True), "all": finish.drop(full, drop_tiles=False)}
+    counts = [df.agg(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.count(F.lit(1)).cast("int").alias("n")) for kind, out in left.items() for name, df in out.tables.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
-@query(f"WITH {IMG} SELECT y, x, channel, v FROM img WHERE channel = 'A'")
+@query(f"WITH {IMG0} SELECT y, x, v::DOUBLE AS v FROM img0 WHERE channel = 'A'")
 def q_restore(spark, d):
-    return lenses.img(spark, d).filter("channel = 'A'").select("y", "x", "channel", "v")
+    """One channel, whose array had no such dimension, comes back as an array of two dimensions; arrays are for results that fit the driver."""
+    one = lenses.assay(spark, d, image=lenses.image(spark, d).filter("channel = 'A'"))
+    one = one.map("dims", lambda dims: dims.filter("dim = 'time' or label = 'A'")).noting(original_dims=("y", "x"))
+    out = finish.to_numpy(finish.restore_format(one), "image")
+    y, x = np.indices(out.shape)
+    return spark.createDataFrame(pd.DataFrame({"y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "v": out.ravel()}))
 
 
 @query(f"WITH {IMG} SELECT channel, (y // 4)::INT AS y, (x // 4)::INT AS x, v FROM img WHERE y % 4 = 0 AND x % 4 = 0")

@@ -1,7 +1,10 @@
-"""Ready pipelines for chips, coded beads, beads and plain images."""
+"""Ready pipelines for chips, coded beads, beads and plain images: their steps, and functions whose parameters are those of the steps."""
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+
 import spotlake.operators.filters  # noqa: F401  (registers components)
 import spotlake.operators.find
 import spotlake.operators.finish
@@ -9,91 +12,67 @@ import spotlake.operators.identify
 import spotlake.operators.preprocess
 import spotlake.operators.stitch
 import spotlake.sources.reader  # noqa: F401
-from spotlake.model import Assay
-from spotlake.pipeline import Pipeline
+from spotlake.pipeline import COMPONENTS, Pipeline
 
 #: Distances between rows and columns, in pixels, of known chips.
 CHIPS = {"minichip": (375 / 1.61, 400 / 1.61), "pc": (406 / 3.22, 750 / 3.22), "ps": (375 / 3.22, 655 / 3.22)}
 
-
-def microfluidic_chip_pipe(
-    shape=(8, 8), pinlist=None, blank=None, overlap=102, rotation=0, row_dist=375 / 1.61, col_dist=400 / 1.61, chip_type=None, min_button_diameter=8, max_button_diameter=30,
-    chamber_diameter=60, top_chamber=None, left_chamber=None, low_edge_quantile=0.1, high_edge_quantile=0.9, num_iter=5_000_000, min_roundness=0.2, cluster_penalty=50, roi_length=None,
-    progress_bar=False, search_timestep=0, search_channel=None, roi_only=False, drop_tiles=True, interactive=False,
-) -> Pipeline:
-    if chip_type is not None:
-        if chip_type not in CHIPS:
-            raise ValueError(f"the chip type {chip_type!r} is not one of {', '.join(CHIPS)}")
-        row_dist, col_dist = CHIPS[chip_type]
-    p = Pipeline("read")
-    p.add_pipe("standardize_format")
-    p.add_pipe("identify_buttons", shape=shape, pinlist=pinlist, blank=blank)
-    p.add_pipe("stitch", overlap=overlap)
-    p.add_pipe("rotate", rotation=rotation)
-    p.add_pipe(
-        "find_buttons", row_dist=row_dist, col_dist=col_dist, min_button_diameter=min_button_diameter, max_button_diameter=max_button_diameter, chamber_diameter=chamber_diameter,
-        top_chamber=top_chamber, left_chamber=left_chamber, low_edge_quantile=low_edge_quantile, high_edge_quantile=high_edge_quantile, num_iter=num_iter, min_roundness=min_roundness,
-        cluster_penalty=cluster_penalty, roi_length=roi_length, progress_bar=progress_bar, search_timestep=search_timestep, search_channel=search_channel, interactive=interactive,
-    )
-    return _finished(p, roi_only, drop_tiles)
-
-
-def _finished(p: Pipeline, roi_only: bool, drop_tiles: bool) -> Pipeline:
-    p.add_pipe("drop", roi_only=roi_only, drop_tiles=drop_tiles)
-    p.add_pipe("restore_format")
-    return p
-
-
-def _bead_pipe(flatfield, darkfield, overlap, roi_only, drop_tiles, identify: dict | None, **find) -> Pipeline:
-    p = Pipeline("read")
-    p.add_pipe("standardize_format")
-    p.add_pipe("flatfield_correct", flatfield=flatfield, darkfield=darkfield)
-    p.add_pipe("stitch", overlap=overlap)
-    p.add_pipe("find_beads", **find)
-    if identify:
-        p.add_pipe("identify_mrbles", **identify)
-    return _finished(p, roi_only, drop_tiles)
-
-
-def mrbles_pipe(
-    spectra, codes, flatfield=1.0, darkfield=0.0, overlap=102, min_bead_diameter=10, max_bead_diameter=50, low_edge_quantile=0.1, high_edge_quantile=0.9, num_iter=5_000_000,
-    min_roundness=0.3, roi_length=None, search_channel=None, reference="eu", roi_only=False, drop_tiles=True, interactive=False,
-) -> Pipeline:
-    return _bead_pipe(
-        flatfield, darkfield, overlap, roi_only, drop_tiles, dict(spectra=spectra, codes=codes, reference=reference), min_bead_diameter=min_bead_diameter, max_bead_diameter=max_bead_diameter,
-        low_edge_quantile=low_edge_quantile, high_edge_quantile=high_edge_quantile, num_iter=num_iter, min_roundness=min_roundness, roi_length=roi_length, search_channel=search_channel, interactive=interactive,
-    )
-
-
-def beads_pipe(
-    flatfield=1.0, darkfield=0.0, overlap=102, min_bead_diameter=5, max_bead_diameter=25, low_edge_quantile=0.1, high_edge_quantile=0.9, num_iter=5_000_000, min_roundness=0.3, roi_length=None,
-    search_channel=None, roi_only=False, drop_tiles=True, interactive=False,
-) -> Pipeline:
-    return _bead_pipe(
-        flatfield, darkfield, overlap, roi_only, drop_tiles, None, min_bead_diameter=min_bead_diameter, max_bead_diameter=max_bead_diameter, low_edge_quantile=low_edge_quantile,
-        high_edge_quantile=high_edge_quantile, num_iter=num_iter, min_roundness=min_roundness, roi_length=roi_length, search_channel=search_channel, interactive=interactive,
-    )
-
-
-def image_pipe(overlap=102, rotation=0, roi_only=False, drop_tiles=True) -> Pipeline:
-    p = Pipeline("read")
-    p.add_pipe("standardize_format")
-    p.add_pipe("stitch", overlap=overlap)
-    p.add_pipe("rotate", rotation=rotation)
-    return _finished(p, roi_only, drop_tiles)
-
-
-def microfluidic_chip(data, **options) -> Assay | list[Assay]:
-    return microfluidic_chip_pipe(**options)(data)
-
-
-def mrbles(data, spectra, codes, **options) -> Assay | list[Assay]:
-    return mrbles_pipe(spectra, codes, **options)(data)
-
-
-def beads(data, min_bead_diameter=10, max_bead_diameter=50, **options) -> Assay | list[Assay]:
-    return beads_pipe(min_bead_diameter=min_bead_diameter, max_bead_diameter=max_bead_diameter, **options)(data)
-
-
-def image(data, **options) -> Assay | list[Assay]:
-    return image_pipe(**options)(data)
+#: The steps of each kind of pipeline.
+END = ("drop", "restore_format")
+STEPS = {
+    "image": ("standardize_format", "stitch", "rotate", *END),
+    "chip": ("standardize_format", "identify_buttons", "stitch", "rotate", "find_buttons", *END),
+    "beads": ("standardize_format", "flatfield_correct", "stitch", "find_beads", *END),
+    "coded": ("standardize_format", "flatfield_correct", "stitch", "find_beads", "identify_mrbles", *END),
+}
+
+
+def _parameters(step: str) -> list[inspect.Parameter]:
+    return list(inspect.signature(COMPONENTS[step]).parameters.values())
+
+
+def ready(kind: str, doc: str, **defaults: object) -> Callable[..., Pipeline]:
+    """A function that makes a pipeline of a kind. defaults: those that differ from the components' own."""
+    found = {p.name: p.replace(default=defaults.get(p.name, p.default)) for step in STEPS[kind] for p in _parameters(step)}
+    if "row_dist" in found:
+        found["chip_type"] = inspect.Parameter("chip_type", inspect.Parameter.POSITIONAL_OR_KEYWORD, default=None)
+    signature = inspect.Signature(sorted(found.values(), key=lambda p: p.default is not p.empty))
+
+    def pipe(*args, **options) -> Pipeline:
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        values = bound.arguments
+        if (chip := values.get("chip_type")) is not None:
+            if chip not in CHIPS:
+                raise ValueError(f"the chip type {chip!r} is not one of {', '.join(CHIPS)}")
+            values["row_dist"], values["col_dist"] = CHIPS[chip]
+        made = Pipeline("read")
+        for step in STEPS[kind]:
+            made.add_pipe(step, **{p.name: values[p.name] for p in _parameters(step)})
+        return made
+
+    pipe.__signature__, pipe.__doc__ = signature, doc
+    return pipe
+
+
+def applied(pipe: Callable[..., Pipeline], doc: str) -> Callable:
+    """A function of data and the parameters of pipe: the assay, or a list of assays, that the pipeline makes of data."""
+
+    def run(data, *args, **options):
+        return pipe(*args, **options)(data)
+
+    signature = inspect.signature(pipe)
+    run.__signature__ = signature.replace(parameters=[inspect.Parameter("data", inspect.Parameter.POSITIONAL_OR_KEYWORD), *signature.parameters.values()])
+    run.__doc__ = doc
+    return run
+
+
+image_pipe = ready("image", "Images stitched from tiles.")
+microfluidic_chip_pipe = ready("chip", "Buttons of a chip. chip_type: a known chip, in place of row_dist and col_dist.")
+beads_pipe = ready("beads", "Round beads.", min_bead_diameter=5, max_bead_diameter=25)
+mrbles_pipe = ready("coded", "Round beads and the codes that their spectra tell.")
+
+image = applied(image_pipe, "Images stitched from tiles.")
+microfluidic_chip = applied(microfluidic_chip_pipe, "Buttons of a chip. chip_type: a known chip, in place of row_dist and col_dist.")
+beads = applied(ready("beads", "Round beads."), "Round beads.")
+mrbles = applied(mrbles_pipe, "Round beads and the codes that their spectra tell.")

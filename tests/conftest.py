@@ -15,3 +15,10 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(request):
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()

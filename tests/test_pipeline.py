@@ -3,6 +3,7 @@ import pytest
 
 import spotlake as sl
 from spotlake.model import Assay, from_numpy
+from spotlake.operators import finish
 from spotlake.pipeline import Pipeline, component
 
 
@@ -63,3 +64,21 @@ def test_presets_refuse():
     assert sl.mrbles_pipe("s", "c").names == ["standardize_format", "flatfield_correct", "stitch", "find_beads", "identify_mrbles", "drop", "restore_format"]
     assert sl.beads_pipe().names[3] == "find_beads" and sl.image_pipe().names[1] == "stitch"
     assert sl.microfluidic_chip_pipe(chip_type="pc").names[1] == "identify_buttons"
+
+
+def test_restored_dimensions(spark):
+    rng = np.random.default_rng(0)
+    a = rng.integers(1, 90, (3, 4, 6, 5, 2)).astype(float)
+    given = from_numpy(a, ("time", "plate", "y", "x", "channel"))
+    for restored, want in ((False, ("channel", "time", "im_y", "im_x")), (True, ("time", "plate", "channel", "im_y", "im_x"))):
+        p = sl.Pipeline("read")
+        for step in ("standardize_format", "stitch", *(["restore_format"] if restored else [])):
+            p.add_pipe(step, **({"overlap": 0} if step == "stitch" else {}))
+        out = p(given)
+        assert finish.output_dims(out, "image") == want
+        got = finish.to_numpy(out, "image")
+        assert got.shape == ((3, 4, 2, 6, 5) if restored else (2, 12, 6, 5))
+        if restored:
+            assert np.array_equal(got, a.transpose(0, 1, 4, 2, 3))
+    flat = sl.image(a[0, 0, :, :, 0], overlap=0)
+    assert finish.output_dims(flat, "image") == ("im_y", "im_x") and np.array_equal(finish.to_numpy(flat, "image"), a[0, 0, :, :, 0])
