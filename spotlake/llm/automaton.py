@@ -150,14 +150,18 @@ class Nfa:
             self.free[x].append(end)
         return end
 
-    def closure(self, states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
-        while todo:
-            for x in self.free[todo.pop()]:
-                if x not in seen:
-                    seen.add(x)
-                    todo.append(x)
-        return frozenset(seen)
+    def closures(self) -> list[int]:
+        """For each state the set (as bits) of states that are reached from it freely, itself included."""
+        out = []
+        for start in range(len(self.free)):
+            seen, todo = 1 << start, [start]
+            while todo:
+                for x in self.free[todo.pop()]:
+                    if not seen >> x & 1:
+                        seen |= 1 << x
+                        todo.append(x)
+            out.append(seen)
+        return out
 
 
 @dataclass
@@ -190,25 +194,35 @@ def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Dfa:
     member = [list(byte_class).index(k) for k in range(len(kinds))]
     used = np.array([any(m >> b & 1 for m in masks) for b in range(256)])
 
-    first = nfa.closure([start])
+    # sets of states are whole numbers; those without a way on but by `free` ones are left out unless they accept
+    free = nfa.closures()
+    matter = sum(1 << s for s in range(len(free)) if nfa.edges[s] or s in nfa.accept)
+    moves = [[(k, free[t] & matter) for m, t in edges for k, b in enumerate(member) if m >> b & 1] for edges in nfa.edges]
+    first = free[start] & matter
+    again = first if search else 0
     ids, todo, rows = {first: 0}, [first], []
-    while todo:
-        now = todo.pop(0)
-        row = []
-        for b in member:
-            to = {t for s in now for m, t in nfa.edges[s] if m >> b & 1}
-            then = nfa.closure(to | ({start} if search else set()))
+    for now in todo:
+        row = [again] * len(member)
+        while now:
+            low = now & -now
+            for k, to in moves[low.bit_length() - 1]:
+                row[k] |= to
+            now ^= low
+        for then in row:
             if then not in ids:
                 ids[then] = len(ids)
                 todo.append(then)
-            row.append(ids[then])
-        rows.append(row)
+        rows.append([ids[then] for then in row])
     table = np.array(rows)
-    labels = np.array([sum(1 << r for r in {nfa.accept[s] for s in states if s in nfa.accept}) for states in ids], dtype=np.int64)
+    labels = np.zeros(len(ids), dtype=np.int64)
+    for s, r in nfa.accept.items():
+        labels |= np.array([states >> s & 1 for states in ids], dtype=np.int64) << r
 
     part = np.unique(labels, return_inverse=True)[1]
-    while True:
-        refined = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)[1].reshape(-1)
+    while True:  # split what the classes of successors tell apart, a column at a time
+        refined = part
+        for column in table.T:
+            refined = np.unique(refined * (int(part.max()) + 1) + part[column], return_inverse=True)[1]
         if refined.max() == part.max():
             break
         part = refined

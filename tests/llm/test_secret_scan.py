@@ -32,6 +32,25 @@ def test_against_backtracking():
     assert len(found) > 100
 
 
+def test_matches_over_the_borders_of_lanes():
+    secrets_ = [b"password = hunter2hunter2", b"AKIA" + b"Q" * 30, b"0123456789abcdef" * 400, b"ghp_" + b"k" * 40, b"token:" + b"v" * 5000, b"-----BEGIN RSA PRIVATE KEY-----"]
+    rng = random.Random(7)
+    for base in (b"plain words without any", b"abcdef0123 token AK ghp eyJ password "):
+        texts = []
+        for _ in range(30):
+            text = b""
+            while len(text) < 9000:
+                text += base * rng.randint(0, 40) + b" " + rng.choice(secrets_) + b" "
+            texts.append(text)
+        found = SCANNER.scan(texts)
+        assert all(found.get(i, []) == brute(t) for i, t in enumerate(texts))
+
+
+def test_rules_of_the_caller_are_sought_as_they_are():
+    own = Scanner((RULES[0].__class__("hex", "z+q"), RULES[0].__class__("pem", "<[a-z]+>")))
+    assert own.scan([b"zzq <ab> zz", b"\xc3\xa9zq<b>"]) == {0: [(0, 3, 0), (4, 8, 1)], 1: [(2, 4, 0), (4, 7, 1)]}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("abc", max_size=12), max_size=5))
 def test_automata_are_minimal_and_right(texts):
