@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many of the commonest keys are split, each over so many ranges: the bound of the broadcast below.
-HOT_KEYS, SPLITS, HOT_FROM = 512, 64, 256
+#: Keys with more than one in HOT_KEYS of all rows (so fewer than HOT_KEYS of them, the bound of the broadcasts below) are split into ranges of about
+#: that many rows, or of HOT_FROM if that is more.
+HOT_KEYS, HOT_FROM = 10_000, 256
 
 
 def content_sort(
@@ -26,41 +27,34 @@ def content_sort(
     without an id gives way to any row with one; among rows of the same id (or all without) exactly one
     stays. An empty table gives no rows. Other columns are not looked at, whatever their names.
     """
-    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    keyed = docs.select(*own, F.col(f"`{id_col}`").cast("long").alias("doc_id"), (normalise(body) if normalise else body).alias("body"))
-    keyed = keyed.withColumns({"head": F.substring("body", 1, 16), "key": F.xxhash64("body")})
 
-    counts = keyed.groupBy("key").count().filter(F.col("count") >= hot_from)
-    hot = [r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    dealt = keyed.withColumn("split", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS)).cast("int")).otherwise(0))
+    def body_of(text: Column) -> Column:
+        plain = F.coalesce(text, F.lit(""))
+        return normalise(plain) if normalise else plain
 
+    said = F.col(f"`{text_col}`")
+    moved = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else said.alias("said")
+    keyed = docs.select(moved, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.substring(body_of(said), 1, 16).alias("head"), F.xxhash64(body_of(said)).alias("key"))
+
+    size = max(hot_from, docs.count() // HOT_KEYS)
+    hot = keyed.groupBy("key").count().filter(F.col("count") >= size).select("key", F.ceil(F.col("count") / size).cast("int").alias("splits"))
+    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("splits")), F.lit(0)).cast("int"))
+
+    # the body is made again behind the shuffle, so that texts move once
+    body = body_of(F.col("row")[text_col] if carry else F.col("said"))
     run = Window.partitionBy("head", "key", "body", "split").orderBy(F.desc_nulls_last("doc_id"))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = dealt.repartitionByRange("head", "key", "split").withColumns(
-        {"place": F.row_number().over(run), "keep_id": F.first("doc_id").over(whole), "group_size": F.count(F.lit(1)).over(whole)}
-    )
-    columns = [*(["row"] if carry else []), "doc_id", "body"]
-    if not hot:
-        return runs.select(*columns, "keep_id", "group_size", (F.col("place") == 1).alias("kept"))
-
-    group = Window.partitionBy("head", "key", "body")
-    winners = (
-        runs.filter(is_hot & (F.col("place") == 1))
-        .select("head", "key", "body", F.col("keep_id").alias("run_id"), "group_size")
-        .select(
-            F.col("key").alias("w_key"), F.col("run_id").alias("w_run"), F.max("run_id").over(group).alias("w_keep"),
-            F.sum("group_size").over(group).alias("w_size"), F.row_number().over(group.orderBy(F.desc_nulls_last("run_id"))).alias("w_place"),
-        )
-    )
-    found = runs.join(F.broadcast(winners), (F.col("key") == F.col("w_key")) & F.col("keep_id").eqNullSafe(F.col("w_run")), "left")
-    return found.select(
-        *columns,
-        F.when(F.col("w_key").isNull(), F.col("keep_id")).otherwise(F.col("w_keep")).alias("keep_id"),
-        F.coalesce("w_size", "group_size").alias("group_size"),
-        ((F.col("place") == 1) & (F.coalesce("w_place", F.lit(1)) == 1)).alias("kept"),
-    )
+    runs = dealt.repartitionByRange("head", "key", "split").withColumn("body", body)
+    runs = runs.withColumns({"place": F.row_number().over(run), "run_id": F.first("doc_id").over(whole), "run_size": F.count(F.lit(1)).over(whole)})
+
+    # what the runs of a split text come to: combined before the shuffle, a row for each such text, and texts are compared in full.
+    # Rows of one id are in one run, so the first of the run that has the largest id stays.
+    second = F.xxhash64("body", F.lit("second")).alias("second")
+    split = dealt.filter("splits is not null").select("key", body.alias("body"), "doc_id").groupBy("key", "body").agg(F.max("doc_id").alias("all_id"), F.count(F.lit(1)).alias("all_size"))
+    found = runs.withColumn("second", second).join(F.broadcast(split.select("key", second, "all_id", "all_size")), ["key", "second"], "left")
+    keep_id = F.when(F.col("all_size").isNull(), F.col("run_id")).otherwise(F.col("all_id"))
+    kept = (F.col("place") == 1) & F.col("run_id").eqNullSafe(keep_id)
+    return found.select(*(["row"] if carry else []), "doc_id", "body", keep_id.alias("keep_id"), F.coalesce("all_size", "run_size").alias("group_size"), kept.alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
