@@ -153,27 +153,29 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 600, max_languages: int = 64) -> LanguageModel:
-    """Fit on a sample, at most sample_per_language documents of each of the max_languages commonest languages, chosen by a hash of the id.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 600, sample: int = 20_000) -> LanguageModel:
+    """Fit on a sample chosen by a hash of the id: at most sample_per_language documents of each language, and about `sample` in all, of all languages alike.
 
     Rows without a language, without letters or held out teach nothing; without any others all predictions are `und`.
     """
     labelled = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return LanguageModel({}, {}, {})
+    sample_per_language = max(2, min(sample_per_language, sample // len(counts)))
+    wide = sample_per_language + 3 * sample_per_language**0.5 + 10  # expected, so that few draws come out short and none empty
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * sample_per_language / r["count"]))])
-    sample = labelled.filter(F.element_at(share, F.col("lang")) > place)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, wide / r["count"]))])
+    drawn = labelled.filter(F.element_at(share, F.col("lang")) > place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([None if v is None else v.tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "lang", "place"])
 
-    rows = sample.select("text", "lang", place.alias("place")).mapInArrow(run, "x binary, lang string, place double").filter("x is not null")
+    rows = drawn.select("text", "lang", place.alias("place")).mapInArrow(run, "x binary, lang string, place double").filter("x is not null")
     got = rows.toArrow().to_pandas().sort_values(["lang", "place"]).groupby("lang").head(sample_per_language)
     if not len(got):
         return LanguageModel({}, {}, {})
@@ -208,7 +210,10 @@ def _predictor(model: LanguageModel):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row: learned from the rows that are not held out, applied to all."""
+    """doc_id, held_out, lang_pred, score of every row: learned from the rows that are not held out, applied to all.
+
+    A null text is `und` with score 0; a null id is not held out; repeated rows are each predicted; no rows give none. Other columns are not read.
+    """
     found = predict(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -217,6 +222,8 @@ def keep_sure(docs: DataFrame, least: float) -> DataFrame:
     """The rows of docs (with doc_id, text, lang) in a language that the model knows, with a score of at least `least`; their own columns.
 
     The score only weighs the learned languages against each other, so the text must also read like the labelled texts of its language.
+    Null texts and texts without a letter go; rows without an id, repeated ones and very long texts are judged by their text as any other;
+    columns may have any names; no rows give none.
     """
     bounded_batches(docs.sparkSession)
     model = learn(docs)
@@ -232,5 +239,7 @@ def keep_sure(docs: DataFrame, least: float) -> DataFrame:
                 keep[at] = (score >= least) & model.knows(known, lang)
             yield batch.filter(pa.array(keep))
 
-    text_at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    # columns are passed by position: names may hold dots, or repeat
+    text_at, own = docs.columns.index("text"), [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    plain = docs.select(*own)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -29,6 +29,12 @@ def test_only_the_text_counts(frame):
     assert set(model.families) == {"germanic", "romance"} and set(model.pair_svm) == {("de", "en"), ("es", "fr")}
 
 
+def test_all_languages_are_learned(frame):
+    rows = [(i, " ".join(f"{chr(97 + lang % 26)}{chr(97 + lang // 26)}x{chr(97 + (i * 7 + k) % 20)}" for k in range(12)), f"l{lang}", "s") for i, lang in enumerate([x % 70 for x in range(1400)])]
+    model = language_id.learn(frame(rows), sample=280)
+    assert sorted(c for codes in model.families.values() for c in codes) == sorted({r[2] for r in rows})
+
+
 def test_odd_rows(odd, none, frame):
     got = language_id.identify(odd).collect()  # no row has a language
     assert len(got) == odd.count() and {r.lang_pred for r in got} == {"und"}
