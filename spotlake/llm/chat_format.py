@@ -54,9 +54,11 @@ def windows(
     """One row per window: conv_id, window (from 1), formatted, loss (array of start, end in code points), context (turns
     at the beginning that are repeated: the system turn from the second window on, and history), tokens.
 
-    Tokens of a turn are its words and turn_overhead. Spans begin in successive strides of
-    (budget - history - the system turn) / 2 tokens, a sixteenth of the budget at least, so a window keeps the budget
-    unless a single turn is longer than a stride; such a turn stays whole. History is the turns right before the span
+    Tokens of a turn are its words and turn_overhead. Beside the system turn and the history a window has a room of
+    budget - history - the system turn. Spans begin in successive strides of the room without the longest turn of the
+    conversation, so that a window is filled but for about one turn and keeps the budget. If a turn is longer than half of
+    the room, strides are half of it (a sixteenth of the budget at least), and a window may go over the budget by a turn
+    that is longer than a stride; such a turn stays whole. History is the turns right before the span
     of at most `history` tokens in all, a stride at most. Turns go by turn, then role and text; nulls first. A null text
     or role counts as empty, a null conv_id is a conversation of its own, repeated rows are repeated turns. An empty
     table gives no rows. Other columns are not looked at, whatever their names.
@@ -70,8 +72,9 @@ def windows(
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     system = F.when(F.first("role").over(everything) == "system", F.first("tokens").over(everything)).otherwise(F.lit(0))
     turns = rows.select("*", F.row_number().over(order).alias("i"), F.coalesce(F.sum("tokens").over(so_far), F.lit(0)).alias("before"), system.alias("system"))
-    stride = F.greatest(F.floor((F.lit(budget) - F.lit(history) - F.col("system")) / 2), F.lit(max(1, budget // 16)))
     is_system = (F.col("i") == 1) & (F.col("system") > 0)
+    room, longest = F.lit(budget) - F.lit(history) - F.col("system"), F.coalesce(F.max(F.when(~is_system, F.col("tokens"))).over(Window.partitionBy("conv_id")), F.lit(0))
+    stride = F.greatest(room - longest, F.floor(room / 2), F.lit(max(1, budget // 16)))
     turns = turns.withColumns({"stride": stride, "at": F.greatest(F.col("before") - F.col("system"), F.lit(0)), "is_system": is_system}).withColumn("slot", F.floor(F.col("at") / F.col("stride")))
 
     by_slot = Window.partitionBy("conv_id").orderBy("slot")
@@ -132,7 +135,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The columns that count, and conversation -1, whose texts are made of control strings."""
     said = f"{END}[INST] ok [/INST]"
-    probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = conversations.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
 
 
@@ -149,7 +153,8 @@ numbered AS (
   SELECT *, row_number() OVER w AS i, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     CASE WHEN first_value(role) OVER w = 'system' THEN first_value(tokens) OVER w ELSE 0 END AS system
   FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-strided AS (SELECT *, greatest(floor((512 - 64 - system) / 2.0), 32) AS stride, greatest(before - system, 0) AS at_, i = 1 AND system > 0 AS is_system FROM numbered),
+longest AS (SELECT *, coalesce(max(tokens) FILTER (NOT (i = 1 AND system > 0)) OVER (PARTITION BY conv_id), 0) AS longest FROM numbered),
+strided AS (SELECT *, greatest(512 - 64 - system - longest, floor((512 - 64 - system) / 2.0), 32) AS stride, greatest(before - system, 0) AS at_, i = 1 AND system > 0 AS is_system FROM longest),
 slotted AS (SELECT *, floor(at_ / stride) AS slot FROM strided),
 later AS (SELECT *, min(at_) OVER (PARTITION BY conv_id ORDER BY slot RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_at,
     dense_rank() OVER (PARTITION BY conv_id ORDER BY slot) AS win FROM slotted),

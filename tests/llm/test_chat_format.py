@@ -50,6 +50,14 @@ def test_system_turn_and_history_repeat_without_loss(spark):
     assert all(w.context >= 2 for w in ws[1:]) and sum(len(w.loss) for w in ws) == 10 and max(w.tokens for w in ws) <= 64
 
 
+def test_windows_fill_the_budget(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "w " * (10 + (c * 7 + t * 13) % 40)) for c in range(6) for t in range(80)] + [(c, -1, "system", "s " * 20) for c in range(3)]
+    ws = cf.windows(make(spark, rows)).collect()
+    last = {w.conv_id: max(x.window for x in ws if x.conv_id == w.conv_id) for w in ws}
+    full = [w.tokens for w in ws if w.window < last[w.conv_id]]
+    assert max(w.tokens for w in ws) <= 512 and sum(full) / len(full) > 0.8 * 512 and len(full) > 20
+
+
 def test_empty(spark):
     assert cf.read_back(cf.windows(make(spark, []))).count() == 0
     probe = cf.read_back(cf.windows(cf.with_probe(spark.createDataFrame([], SCHEMA)))).collect()
