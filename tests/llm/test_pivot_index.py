@@ -51,6 +51,27 @@ def test_recall_of_the_index(spark):
     assert sum(r.n_links for r in got) >= 0.999 * sum(n.values()) > 0
 
 
+def test_recall_with_many_pivots(spark, monkeypatch):
+    """As many pivots as the largest label asks for, up to the most."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(250, 64))
+    rows = [(i, (base[i % 250] + rng.normal(size=64) * 0.13).tolist(), 0) for i in range(750)]
+    monkeypatch.setattr(pivot_index, "LIST", 8)
+    n, _ = brute(rows)
+    got = pivot_index.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_links for r in got) >= 0.995 * sum(n.values()) > 0
+
+
+def test_labels_in_their_own_type_and_sizes_of_components(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1.2), (2, v, 1.9), (3, v, 1.2), (4, [1e200, 2e200, 3e200], 1.2), (5, [1e-200, 2e-200, 3e-200], 1.2), (6, [1.0, 2.0], 1.2), (7, [2.0, 4.0], 1.2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()}
+    assert got == {1: (3, 1), 2: (0, 2), 3: (3, 1), 4: (3, 1), 5: (3, 1), 6: (1, 6), 7: (1, 6)}
+    words = [(1, v, "a"), (2, v, "b"), (3, v, "a")]
+    got = {r.vec_id: r.component_id for r in pivot_index.near_vectors(spark.createDataFrame(words, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_empty_and_clashing(spark):
     assert pivot_index.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame(rows_of()[:9], SCHEMA).selectExpr("*", "1 as v", "2 as w", "3 as near", "4 as component_id")
