@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def natural_key(text: Column, width: int = 20) -> Column:
     return F.array_join(padded, "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: the optimizer would else write it out within lambdas of use, which run for every row of pixels."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def window_start(centre: Column, side: int, limit: Column | int) -> Column:
     """First pixel of a window of `side` pixels around centre, slid (not cut) to lie in 0..limit."""
     limit = F.lit(limit) if isinstance(limit, int) else limit

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotlake.functions.columns import once
 from spotlake.model import SCHEMAS, Assay
 from spotlake.operators.geometry import disk
 from spotlake.pipeline import component
@@ -140,8 +141,8 @@ def basic_correct(assay: Assay, model: Callable[[], object] | None = None) -> As
 def _mirrored(assay: Assay, horizontal: bool) -> Assay:
     name = "image" if "image" in assay else "tiles"
     df = assay[name]
-    rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice("px", y * F.col("width") + 1, F.col("width")))
-    turned = F.flatten(F.transform(rows, F.reverse) if horizontal else F.reverse(rows))
+    rows = lambda px: F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice(px, y * F.col("width") + 1, F.col("width")))
+    turned = once(F.col("px"), lambda px: F.flatten(F.transform(rows(px), F.reverse) if horizontal else F.reverse(rows(px))))
     if name == "image":
         start, size = ("x0", "width") if horizontal else ("y0", "height")
         ends = df.groupBy("assay").agg(F.max(F.col(start) + F.col(size)).alias("_end"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotlake.functions.columns import once
 from spotlake.model import Assay
 from spotlake.pipeline import component
 
@@ -19,7 +20,8 @@ def stitched(tiles: DataFrame, overlap: int) -> DataFrame:
     lead = overlap // 2
     h, w = F.col("height") - overlap, F.col("width") - overlap
     fits = F.when((h > 0) & (w > 0), h).otherwise(F.raise_error(F.lit("overlap must be smaller than the tiles")).cast("int"))
-    px = F.flatten(F.transform(F.sequence(F.lit(lead), F.lit(lead) + h - 1), lambda y: F.slice("px", y * F.col("width") + lead + 1, w))) if overlap else F.col("px")
+    clip = lambda px: F.flatten(F.transform(F.sequence(F.lit(lead), F.lit(lead) + h - 1), lambda y: F.slice(px, y * F.col("width") + lead + 1, w)))
+    px = once(F.col("px"), clip) if overlap else F.col("px")
     # clipped first: within a lambda of one select, `width` would be the new one
     return tiles.withColumn("px", px).select(
         "assay", "channel", "time_idx", (F.col("tile_row") * h).cast("int").alias("y0"), (F.col("tile_col") * w).cast("int").alias("x0"), fits.cast("int").alias("height"), w.cast("int").alias("width"),
@@ -27,12 +29,6 @@ def stitched(tiles: DataFrame, overlap: int) -> DataFrame:
     )
 
 
-def place(local: Column, tile: Column, size: int, overlap: int) -> Column:
-    """Pixel form: coordinate in the image, null for pixels in the overlap."""
-    lead = overlap // 2
-    return F.when((local >= lead) & (local < size - (overlap - lead)), tile * (size - overlap) + local - lead)
-
-
 @component("stitch")
 def stitch(assay: Assay, overlap: int = 102) -> Assay:
     check_overlap(overlap)
