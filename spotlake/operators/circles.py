@@ -36,8 +36,8 @@ def gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _weighted(image, middle, side), _weighted(image, side, middle)
 
 
-def canny(dy: np.ndarray, dx: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Thin edges: local maxima of the gradient across it above low that connect to ones above high."""
+def maxima(dy: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The length of the gradient, and where it is a local maximum across the edge."""
     size = np.hypot(dy, dx)
     p = np.pad(size, 1)
     h, w = size.shape
@@ -50,8 +50,11 @@ def canny(dy: np.ndarray, dx: np.ndarray, low: float, high: float) -> np.ndarray
         [(size > at(0, -1)) & (size >= at(0, 1)), (size > at(-1, 0)) & (size >= at(1, 0)), (size > at(-1, -1)) & (size > at(1, 1))],
         (size > at(-1, 1)) & (size > at(1, -1)),
     )
-    weak = peak & (size > low)
-    strong = weak & (size > high)
+    return size, peak
+
+
+def flood(strong: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """strong, and all of weak that connects to it."""
     kept, front = strong, strong
     while front.any():  # neighbours of what was reached last, all at once
         p = np.pad(front, 1)
@@ -61,6 +64,13 @@ def canny(dy: np.ndarray, dx: np.ndarray, low: float, high: float) -> np.ndarray
     return kept
 
 
+def canny(dy: np.ndarray, dx: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Thin edges: local maxima of the gradient across it above low that connect to ones above high."""
+    size, peak = maxima(dy, dx)
+    weak = peak & (size > low)
+    return flood(weak & (size > high), weak)
+
+
 def thresholds(dy: np.ndarray, dx: np.ndarray, low_quantile: float, high_quantile: float) -> np.ndarray:
     """Quantiles, interpolated, of the gradient's length."""
     return np.quantile(np.hypot(dy, dx), [low_quantile, high_quantile])
@@ -102,6 +112,22 @@ def candidates(edges: np.ndarray, n: int, cell: int, rng: np.random.Generator) -
     return np.column_stack([y[a] + oy, x[a] + ox, np.hypot(oy, ox)])[fine]
 
 
+def distinct_candidates(
+    edges: np.ndarray, n: int, cell: int, rng: np.random.Generator, low: float, high: float, shape: tuple[int, int], origin: tuple[int, int] = (0, 0)
+) -> np.ndarray:
+    """n candidates without repeats and those that are not within() a plane of this shape, of which edges are a part that begins at origin."""
+    found = np.zeros((0, 3), dtype=np.int64)
+    for lo in range(0, n, CHUNK):
+        c = candidates(edges, min(CHUNK, n - lo), cell, rng) + [*origin, 0]
+        found = np.unique(np.concatenate([found, within(c, low, high, shape)[0]]), axis=0)
+    return found
+
+
+def rank(circles: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Indices of the circles, best first."""
+    return np.lexsort((circles[:, 1], circles[:, 0], circles[:, 2], -score))
+
+
 def scores(circles: np.ndarray, edges: np.ndarray, angle: np.ndarray) -> np.ndarray:
     """How well the gradient at edge pixels of each perimeter points along the radius: 1 for all of it, 0 for none, -1 for across."""
     out = np.zeros(len(circles))
@@ -147,17 +173,13 @@ def find_circles(
         return nothing
     dy, dx = gradients(smooth(image))
     edges = canny(np.rint(dy), np.rint(dx), *thresholds(dy, dx, low_quantile, high_quantile))
-    rng = np.random.default_rng(seed)
-    found = np.zeros((0, 3), dtype=np.int64)
-    for lo in range(0, n_iter, CHUNK):
-        c = candidates(edges, min(CHUNK, n_iter - lo), grid, rng)
-        found = np.unique(np.concatenate([found, within(c, min_radius, max_radius, image.shape)[0]]), axis=0)
+    found = distinct_candidates(edges, n_iter, grid, np.random.default_rng(seed), min_radius, max_radius, image.shape)
     if not len(found):
         return nothing
     s = scores(found, edges, np.arctan2(dy, dx))
     keep = s >= min_roundness
     found, s = found[keep], s[keep]
-    order = np.lexsort((found[:, 1], found[:, 0], found[:, 2], -s))
+    order = rank(found, s)
     found, s = found[order], s[order]
     at = greedy(found, min_dist, image.shape)
     return found[at], s[at]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.columns import whole, window_start
 from spotlake.model import SCHEMAS, Assay, plane, table
+from spotlake.operators import wide
 from spotlake.operators.circles import find_circles, to_uint8
 from spotlake.operators.geometry import disk, disk_mask, window
 from spotlake.operators.grid import cluster_1d, crossings, fill_times, ideal_counts, label_clusters, lines, merge_points
@@ -38,13 +39,18 @@ def refuse_gui(interactive: bool) -> None:
 
 
 def detect(image: DataFrame, **options) -> DataFrame:
-    """Circles of every plane (assay, channel, time_idx) of the image; one task sees one plane."""
+    """Circles of every plane (assay, channel, time_idx) of the image; one task sees one plane, or one window of a large plane."""
 
     def run(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         c, s = find_circles(to_uint8(plane(blocks)), **options)
         return pd.DataFrame({"assay": key[0], "channel": key[1], "time_idx": key[2], "y": c[:, 0], "x": c[:, 1], "radius": c[:, 2], "score": s})
 
-    return image.groupBy("assay", "channel", "time_idx").applyInPandas(run, CIRCLES)
+    large = [p for p in wide.extents(image).collect() if wide.is_large(p)]
+    if not large:
+        return image.groupBy("assay", "channel", "time_idx").applyInPandas(run, CIRCLES)
+    names = image.sparkSession.createDataFrame([tuple(p[k] for k in wide.KEYS) for p in large], "assay string, channel string, time_idx int")
+    small = image.join(F.broadcast(names), wide.KEYS, "left_anti")
+    return small.groupBy("assay", "channel", "time_idx").applyInPandas(run, CIRCLES).unionByName(wide.detect(image, large, **options))
 
 
 def search_channels(assay: Assay, wanted) -> list[str]:

@@ -7,6 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -302,21 +304,31 @@ def q_nms(spark, d):
 
 
 def _drawn(spark, d):
-    """An image with a disk at every place of the chip, in blocks of 200 x 200."""
-    marks = lenses.chip(spark, d).select("y", "x")
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 100, int(pdf["x"].max()) + 100
-        out = np.zeros((h, w))
-        for y, x in zip(pdf["y"].astype(int), pdf["x"].astype(int)):
-            p = geometry.disk(10) + [y, x]
-            out[p[:, 0], p[:, 1]] = 1000
-        blocks = [(y, x, out[y : y + 200, x : x + 200]) for y in range(0, h, 200) for x in range(0, w, 200)]
-        return pd.DataFrame([("a", "0", 0, y, x, *b.shape, b.ravel().tolist()) for y, x, b in blocks], columns=["assay", "channel", "time_idx", "y0", "x0", "height", "width", "px"])
-
+    """An image with a disk at every place of the chip, in blocks of 200 x 200. It is kept on disk, as the finders read it several times."""
     from spotlake.model import SCHEMAS
 
-    return marks.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(draw, SCHEMAS["image"])
+    marks = lenses.chip(spark, d).select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    h, w = (int(v or 0) + 100 if v is not None else 0 for v in marks.agg(F.max("y"), F.max("x")).first())
+    side, across = 200, -(-w // 200)
+    met = lambda c: F.sequence(F.floor((F.col(c) - 10) / side), F.floor((F.col(c) + 10) / side))
+    on = marks.withColumn("by", F.explode(met("y"))).withColumn("bx", F.explode(met("x"))).groupBy((F.col("by") * across + F.col("bx")).alias("id")).agg(F.collect_list("y").alias("y"), F.collect_list("x").alias("x"))
+
+    def draw(batches):
+        for batch in batches:
+            for i, ys, xs in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "x"))):
+                y0, x0 = side * (i // across), side * (i % across)
+                out = np.zeros((min(side, h - y0), min(side, w - x0)))
+                for y, x in zip(*(() if v is None else v for v in (ys, xs))):
+                    p = geometry.disk(10) + [y - y0, x - x0]
+                    p = p[((p >= 0) & (p < out.shape)).all(axis=1)]
+                    out[p[:, 0], p[:, 1]] = 1000
+                px = pa.ListArray.from_arrays(pa.array([0, out.size], pa.int32()), pa.array(out.ravel()))
+                sizes = [pa.array([v], pa.int32()) for v in (0, y0, x0, *out.shape)]
+                yield pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["0"]), *sizes, px], names=["assay", "channel", "time_idx", "y0", "x0", "height", "width", "px"])
+
+    n = -(-h // side) * across
+    each = spark.range(n).join(on, "id", "left").repartition(max(1, -(-n // 64)), "id")  # a number, as lists of places are too small for Spark to spread them
+    return each.mapInArrow(draw, SCHEMAS["image"]).persist(StorageLevel.DISK_ONLY)
 
 
 def _places(found):
