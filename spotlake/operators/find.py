@@ -17,10 +17,13 @@ from spotlake.operators.circles import find_circles, to_uint8
 from spotlake.operators.geometry import disk, disk_mask, window
 from spotlake.operators.grid import cluster_1d, crossings, fill_times, ideal_counts, label_clusters, lines, merge_points
 from spotlake.pipeline import component
+from spotlake.session import settled
 
 CIRCLES = "assay string, channel string, time_idx int, y int, x int, radius int, score double"
-#: Marks whose regions one task puts together at a time.
-CHUNK = 256
+#: Marks whose regions one task puts together at a time, and pixels of regions that it puts together in all; at least one mark.
+CHUNK, REGIONS = 256, 1 << 22
+#: Marks that may be sent to where the blocks are; with more of them, blocks are moved.
+FEW = 1_000_000
 
 
 def as_list(x) -> list:
@@ -66,8 +69,10 @@ def cut_rois(image: DataFrame, marks: DataFrame, side: int, height: int, width:
     """The side x side windows of all marks in all channels, from the marks of the same time_idx.
 
     Windows and blocks meet by equality on the cell of a grid of block size; a block is clipped to the window before rows move on.
+    Regions are dealt out by number, as they may be so small when packed that Spark would put all of them into one task.
     """
-    cell_y, cell_x = (int(v or 1) for v in image.agg(F.max("height"), F.max("width")).first())
+    cell_y, cell_x, channels = (int(v or 1) for v in image.agg(F.max("height"), F.max("width"), F.count_distinct("channel")).first())
+    n, chunk = marks.count(), max(1, min(CHUNK, REGIONS // side**2))
     top, left = window_start(whole(F.col("y")), side, height), window_start(whole(F.col("x")), side, width)
     wanted = marks.select("assay", "mark", "time_idx", top.cast("int").alias("top"), left.cast("int").alias("left"))
     cells = wanted.withColumn("_by", F.explode(F.sequence(F.floor(F.col("top") / cell_y), F.floor((F.col("top") + side - 1) / cell_y)))).withColumn(
@@ -77,8 +82,8 @@ def cut_rois(image: DataFrame, marks: DataFrame, side: int, height: int, width:
     y1, x1 = F.greatest("top", "y0"), F.greatest("left", "x0")
     y2, x2 = F.least(F.col("top") + side, F.col("y0") + F.col("height")), F.least(F.col("left") + side, F.col("x0") + F.col("width"))
     piece = F.flatten(F.transform(F.sequence(y1 - F.col("y0"), y2 - F.col("y0") - 1), lambda y: F.slice("px", (y * F.col("width") + x1 - F.col("x0") + 1).cast("int"), (x2 - x1).cast("int"))))
-    met = cells.join(blocks, ["assay", "time_idx", "_by", "_bx"]).filter((y2 > y1) & (x2 > x1))
-    parts = met.select("assay", "mark", "channel", "time_idx", "top", "left", (y1 - F.col("top")).alias("dy"), (x1 - F.col("left")).alias("dx"), (x2 - x1).alias("w"), piece.alias("px"))
+    met = (F.broadcast(cells) if n <= FEW else cells.hint("shuffle_hash")).join(blocks, ["assay", "time_idx", "_by", "_bx"]).filter((y2 > y1) & (x2 > x1))
+    parts = met.select("assay", "mark", "channel", "time_idx", "top", "left", (y1 - F.col("top")).alias("dy"), (x1 - F.col("left")).alias("dx"), (x2 - x1).alias("w"), piece.alias("px"), F.floor(F.col("mark") / chunk).alias("_chunk"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple, np.ndarray] = {}
@@ -86,10 +91,11 @@ def cut_rois(image: DataFrame, marks: DataFrame, side: int, height: int, width:
             roi = out.setdefault((r.assay, r.mark, r.channel, r.time_idx, r.top, r.left), np.zeros((side, side)))
             px = np.asarray(r.px).reshape(-1, r.w)
             roi[r.dy : r.dy + len(px), r.dx : r.dx + r.w] = px
-        rows = [(*k, side, v.ravel().tolist()) for k, v in out.items()]
+        rows = [(*k, side, v.ravel()) for k, v in out.items()]
         return pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMAS["roi"].split(", ")])
 
-    return parts.groupBy("assay", "channel", "time_idx", F.floor(F.col("mark") / CHUNK)).applyInPandas(build, SCHEMAS["roi"])
+    group = ["assay", "channel", "time_idx", "_chunk"]
+    return parts.repartition(max(1, math.ceil(n * channels * side**2 / REGIONS)), *group).groupBy(*group).applyInPandas(build, SCHEMAS["roi"])
 
 
 def owners(marks: DataFrame, height: int, width: int) -> DataFrame:
@@ -192,14 +198,14 @@ def find_centers(points: DataFrame, tags: DataFrame, size: tuple[int, int], row_
     labelled = points
     ideals = {}
     for axis, p, dist, known, n in (("mark_row", "y", row_dist, top, size[0]), ("mark_col", "x", col_dist, left, size[1])):
-        ideal = ideals[axis] = ideal_counts(tags, axis).persist()
+        ideal = ideals[axis] = settled(ideal_counts(tags, axis))
         k = ideal.count()
         if known is None:
             offset = cluster_1d(points.select(F.col(p).cast("double").alias("p")), ideal, n, dist, penalty).select(F.col("offset").alias(f"_{axis}"))
             labelled = labelled.join(F.broadcast(offset), F.lit(True)).withColumn(axis, label_clusters(F.col(p), F.col(f"_{axis}"), dist, 0.0, k)).drop(f"_{axis}")
         else:
             labelled = labelled.withColumn(axis, label_clusters(F.col(p), known, 2.0 * chamber, dist - 2.0 * chamber, k))
-    inside = labelled.filter((F.col("mark_row") >= 0) & (F.col("mark_col") >= 0)).select("mark_row", "mark_col", F.col("y").cast("double"), F.col("x").cast("double")).persist()
+    inside = settled(labelled.filter((F.col("mark_row") >= 0) & (F.col("mark_col") >= 0)).select("mark_row", "mark_col", F.col("y").cast("double"), F.col("x").cast("double")))
     rows = lines(inside.withColumnRenamed("mark_row", "label"), ideals["mark_row"], "x", "y")
     columns = lines(inside.withColumnRenamed("mark_col", "label"), ideals["mark_col"], "y", "x")
     return crossings(rows, columns)
@@ -208,6 +214,7 @@ def find_centers(points: DataFrame, tags: DataFrame, size: tuple[int, int], row_
 def refine(rois: DataFrame, marks: DataFrame, low: int, high: int, low_quantile: float, n_iter: int, roundness: float) -> DataFrame:
     """Better y, x, radius, score of marks from the best circle in their regions, over the channels there; the old ones where none is found."""
     side_quantile = lambda side: 1 - math.pi * low / side**2
+    n_iter = max(n_iter, wide.DRAWS * math.ceil(2 * math.pi * high))  # with many marks, circles are not missed
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -221,7 +228,9 @@ def refine(rois: DataFrame, marks: DataFrame, low: int, high: int, low_quantile:
                 rows.append((a, m, t, *best))
         return pd.DataFrame(rows, columns=["assay", "mark", "time_idx", "y_", "x_", "radius_", "score_"])
 
-    better = rois.groupBy("assay", "time_idx", F.floor(F.col("mark") / 8)).applyInPandas(run, "assay string, mark int, time_idx int, y_ double, x_ double, radius_ double, score_ double")
+    group = ["assay", "time_idx", "_some"]
+    dealt = rois.withColumn("_some", F.floor(F.col("mark") / 8)).repartition(max(1, math.ceil(marks.count() / 128)), *group).groupBy(*group)
+    better = dealt.applyInPandas(run, "assay string, mark int, time_idx int, y_ double, x_ double, radius_ double, score_ double")
     joined = marks.join(better, ["assay", "mark", "time_idx"], "left")
     return expressions_of(joined, y=F.coalesce("y_", "y"), x=F.coalesce("x_", "x"), radius=F.coalesce("radius_", F.lit(float(high))), score=F.col("score_"))
 
@@ -262,7 +271,7 @@ def find_buttons(
     n_cols = int(tags.agg(F.max("mark_col")).first()[0]) + 1
     inside = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n - 1.0))
     marks = centres.join(F.broadcast(tags.drop("assay")), ["mark_row", "mark_col"])
-    marks = expressions_of(marks, assay=F.lit(name), mark=F.col("mark_row") * n_cols + F.col("mark_col"), valid=F.lit(True), y=inside("y", height), x=inside("x", width)).persist()
+    marks = settled(expressions_of(marks, assay=F.lit(name), mark=F.col("mark_row") * n_cols + F.col("mark_col"), valid=F.lit(True), y=inside("y", height), x=inside("x", width)))
     rois = cut_rois(image.filter(F.col("channel").isin(channels)), marks.filter("tag <> ''"), side, height, width)
     found_marks = refine(rois, marks, low, high, low_edge_quantile, max(1, num_iter // n_marks), min_roundness).persist()
     filled = fill_times(found_marks, times, ["assay", "mark"], ["mark_row", "mark_col", "x", "y", "radius", "score", "tag", "valid"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spotlake.operators.circles import distinct_candidates, flood, gradients, maxima, rank, scores, smooth
 from spotlake.operators.geometry import ring
+from spotlake.session import settled
 
 #: Pixels a plane may have to be searched by one task, and about the side of a window where it has more.
 LARGE, SIDE = 1 << 22, 1000
@@ -272,7 +273,9 @@ def choose(found: DataFrame, side: int, windows: int, min_dist: int, max_radius:
         before, now = now, _kept(_dealt(now.mapInPandas(send, _CHOICE), windows).applyInPandas(settle, _CHOICE))
         now.count()
         before.unpersist()
-    return now.select(*KEYS, F.inline(F.arrays_zip("y", "x", "radius", "score")))
+    out = settled(now.select(*KEYS, F.inline(F.arrays_zip("y", "x", "radius", "score"))).coalesce(math.ceil(windows / 64)))
+    now.unpersist()
+    return out
 
 
 def detect(
@@ -289,4 +292,7 @@ def detect(
     windows = max(1, sum(math.ceil(p.h / side) * math.ceil(p.w / side) for p in planes))
     maximal = _kept(peaks(image, rows, side, windows))
     border = edges(maximal, thresholds(maximal, planes, (low_quantile, high_quantile)), side, windows)
-    return choose(search(border, side, windows, grid, n_iter, min_radius, max_radius, min_roundness, seed), side, windows, min_dist, max_radius)
+    found = choose(search(border, side, windows, grid, n_iter, min_radius, max_radius, min_roundness, seed), side, windows, min_dist, max_radius)
+    maximal.unpersist()
+    border.unpersist()
+    return found
